@@ -145,6 +145,11 @@ def mix(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, bloc
     return parts.join(schedule(sources, df.sparkSession, block_tokens), ["source", "block"]).select("slot", "source", "block", "start_token", "doc_id", "repetition", "n_tokens"), sources
 
 
+def short_sources(reported: DataFrame) -> DataFrame:
+    """The sources whose rows were all used as often as allowed without reaching their share."""
+    return reported.filter(F.col("is_short") & (F.col("actual_tokens") == F.col("allotted_tokens"))).select("source")
+
+
 def report(mixture: DataFrame, sources: list[Source]) -> DataFrame:
     """Target and reached shares of each source, and whether its repetitions fall short of the target.
 

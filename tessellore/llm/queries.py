@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellore.llm import mixing, packing
+from tessellore.llm import mixing, neighbours, packing, splitting
 from tessellore.runtime import table
 
 
+#: The header a chunk's text may begin with.
+CHUNK_HEADER = r"^Title: [^\n]*\nSection: [^\n]*\n\n"
+
+
+def _texts(spark: SparkSession, sf_dir: str, header: bool) -> DataFrame:
+    """The bodies of page records and the texts of chunks as tbl, row_id, body."""
+    pages = table(spark, sf_dir, "page_records").select(F.lit("page_records").alias("tbl"), F.col("page_id").alias("row_id"), F.col("body_md").alias("body"))
+    content = F.col("page_content") if header else F.regexp_replace("page_content", CHUNK_HEADER, "")
+    return pages.unionByName(table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), content.alias("body")))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized page bodies and chunk texts."""
+    return splitting.split_texts(_texts(spark, sf_dir, header=False))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that were split, and whether a run without white space had to be broken."""
+    return splitting.cut_kinds(p4_pieces(spark, sf_dir))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other vectors of every usable vector."""
+    return neighbours.neighbours(table(spark, sf_dir, "chunk_vectors").select("vec_id", "embedding"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of neighbours with a cosine of 0.85 or more."""
+    return neighbours.similar_pairs(p6_neighbours(spark, sf_dir), 0.85)
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,7 +66,7 @@ def _mixture(spark: SparkSession, sf_dir: str):
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources that cannot reach their share, from the mixture's report."""
-    return mixing.report(*_mixture(spark, sf_dir)).filter("is_short").select("source")
+    return mixing.short_sources(mixing.report(*_mixture(spark, sf_dir)))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +80,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
@@ -58,6 +93,25 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p6_found": """
+        WITH usable AS (
+            SELECT vec_id, embedding::DOUBLE[64] AS v FROM chunk_vectors
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), ranked AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.v, b.v) AS s,
+                   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(array_cosine_similarity(a.v, b.v), 6) DESC, b.vec_id) AS r
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+        )
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM ranked WHERE r <= 5 AND s >= 0.85""",
+    "p4_found": r"""
+        WITH texts AS (
+            SELECT 'page_records' AS tbl, page_id AS row_id, body_md AS body FROM page_records
+            UNION ALL SELECT 'chunks', chunk_id, regexp_replace(page_content, '^Title: [^\n]*\nSection: [^\n]*\n\n', '') FROM chunks
+        )
+        SELECT tbl, row_id, CASE WHEN list_max(list_transform(regexp_split_to_array(body, '[\s\v\x1c-\x1f\x85\p{Z}]+'), lambda x: length(x))) > 1500
+            THEN 'hard' ELSE 'soft' END AS cut_kind
+        FROM texts WHERE length(body) > 2000""",
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 8192",
     "p8_found": """
         WITH sized AS (
