@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellore.llm import mixing, neighbours, packing, splitting
+from tessellore.llm import duplicates, mixing, neighbours, packing, splitting, survivors
 from tessellore.runtime import table
 
 
@@ -20,6 +20,23 @@ def _texts(spark: SparkSession, sf_dir: str, header: bool) -> DataFrame:
     return pages.unionByName(table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), content.alias("body")))
 
 
+def _page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of problem 1: three words, likeness 0.60, at least 200 characters."""
+    pages = table(spark, sf_dir, "page_records").select("page_id", "body_md")
+    return duplicates.duplicate_groups(pages, words=3, least=0.6, least_chars=200)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of records in one group."""
+    return duplicates.grouped_pairs(_page_groups(spark, sf_dir))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every page at five words and a probability likeness of 0.8 over shingle counts."""
+    pages = table(spark, sf_dir, "page_records").select("page_id", "body_md")
+    return duplicates.duplicate_groups(pages, least_chars=1, weighted=True)
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized page bodies and chunk texts."""
     return splitting.split_texts(_texts(spark, sf_dir, header=False))
@@ -30,6 +47,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.cut_kinds(p4_pieces(spark, sf_dir))
 
 
+def _survivor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = survivors.page_members(table(spark, sf_dir, "page_records"), _page_groups(spark, sf_dir))
+    return survivors.choose_bundles(members, survivors.page_bundles())
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member that each field of a group's survivor comes from."""
+    return _survivor_choice(spark, sf_dir).select("group_id", F.col("bundle").alias("field_name"), F.col("member").alias("page_id"))
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each group of copies."""
+    return survivors.surviving_records(table(spark, sf_dir, "page_records"), _survivor_choice(spark, sf_dir), survivors.page_bundles())
+
+
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar other vectors of every usable vector."""
     return neighbours.neighbours(table(spark, sf_dir, "chunk_vectors").select("vec_id", "embedding"))
@@ -80,6 +112,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
     "p4_found": p4_found,
@@ -92,7 +128,43 @@ QUERIES = {
     "p8_shares": p8_shares,
 }
 
+#: The groups of problem 1, as pairs (root, node) of everything that reaches each other.
+_REACH = r"""
+        WITH RECURSIVE docs AS (
+            SELECT page_id, list_filter(regexp_split_to_array(lower(body_md), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+            FROM page_records WHERE length(regexp_replace(body_md, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) >= 200
+        ), shingles AS (
+            SELECT DISTINCT page_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i+2], ' '))) AS s FROM docs
+        ), sizes AS (SELECT page_id, count(*) AS n FROM shingles GROUP BY 1
+        ), common AS (
+            SELECT a.page_id AS a, b.page_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.page_id < b.page_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM common c JOIN sizes x ON x.page_id = a JOIN sizes y ON y.page_id = b WHERE c.n >= 0.6 * (x.n + y.n - c.n)
+        ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT DISTINCT a AS root, a AS node FROM ways
+            UNION SELECT r.root, w.b FROM reach r JOIN ways w ON w.a = r.node
+        )"""
+
 ORACLE = {
+    "p1_found": _REACH + " SELECT root AS page_id_a, node AS page_id_b FROM reach WHERE root < node",
+    "p5_found": _REACH + r""", members AS (SELECT DISTINCT min(root) OVER (PARTITION BY node) AS group_id, node AS page_id FROM reach
+        ), looked AS (
+            SELECT group_id, p.*, trim(updated_at) AS u FROM members JOIN page_records p USING (page_id)
+        ), timed AS (
+            SELECT *, CASE WHEN regexp_full_match(u, '-?[0-9]{9,15}') THEN u::BIGINT
+                WHEN regexp_full_match(u, '.*(Z|[+-][0-9]{2}:[0-9]{2})') THEN epoch_ms(try_cast(u AS TIMESTAMPTZ))
+                ELSE epoch_ms(try_cast(u AS TIMESTAMP)) END AS ms, length(trim(excerpt, E' \t\n\r')) AS e FROM looked
+        ), ranked AS (
+            SELECT group_id, page_id, e,
+                row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN lower(trim(discovered_via)) = 'sidebar' THEN 0 ELSE 1 END, url, page_id) AS r1,
+                row_number() OVER (PARTITION BY group_id ORDER BY ms DESC NULLS LAST, length(body_md) DESC, page_id) AS r2,
+                row_number() OVER (PARTITION BY group_id ORDER BY e DESC NULLS LAST, page_id) AS r3
+            FROM timed
+        )
+        SELECT group_id, 'url' AS field_name, page_id FROM ranked WHERE r1 = 1
+        UNION ALL SELECT group_id, 'body_md', page_id FROM ranked WHERE r2 = 1
+        UNION ALL SELECT group_id, 'excerpt', page_id FROM ranked WHERE r3 = 1 AND e > 0""",
     "p6_found": """
         WITH usable AS (
             SELECT vec_id, embedding::DOUBLE[64] AS v FROM chunk_vectors
