@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellore.llm import duplicates, mixing, neighbours, packing, splitting, survivors
+from tessellore.llm import duplicates, markup, mixing, neighbours, packing, splitting, survivors
 from tessellore.runtime import table
 
 
@@ -37,6 +37,16 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_groups(pages, least_chars=1, weighted=True)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The families of markup in each text."""
+    return markup.found_families(markup.clean_texts(_texts(spark, sf_dir, header=True), texts=False))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every page body and chunk, with counts of what was kept."""
+    return markup.clean_texts(_texts(spark, sf_dir, header=True))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized page bodies and chunk texts."""
     return splitting.split_texts(_texts(spark, sf_dir, header=False))
@@ -118,6 +128,8 @@ QUERIES = {
     "p5_survivors": p5_survivors,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
