@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellore.llm import duplicates, markup, mixing, neighbours, packing, splitting, survivors
+from tessellore.llm import duplicates, markup, mixing, neighbours, packing, sentences, splitting, survivors
 from tessellore.runtime import table
 
 
@@ -121,6 +121,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*_mixture(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -138,6 +143,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 #: The groups of problem 1, as pairs (root, node) of everything that reaches each other.
