@@ -1,11 +1,11 @@
 """Sentence units of texts in many languages, with abbreviations learned without labels.
 
-Two passes over all texts count, per language, how often each type stands with and without a final
+One pass over all texts counts, per language, how often each type stands with and without a final
 period, in the middle of a sentence or at a certain start (of a paragraph, or behind ! or ?), and what
 follows a period. From the log-likelihood ratios of these counts come the abbreviations, the
 collocations across a period, and the sentence starters; for every abbreviation (and for ordinal
 numbers) the counts also tell whether it can end a sentence, by how often a known starter follows.
-A third pass classifies each period with these statistics.
+A second pass classifies each period with these statistics.
 
 Blank lines end units, single line breaks only before a list item, whose marker belongs to its first
 unit. Quotes and brackets are not cut inside; they close the unit if their last mark ends it. Full
@@ -77,7 +77,7 @@ CASELESS = frozenset({"ar", "hi", "ko", "th", "zh", "ja"})
 #: A lower-case word as it stands inside sentences; names like iPad, identifiers and file names are not.
 PLAIN = re.compile(r"[\"'“„«‹‘(\[]*[^\W\dA-Z_]+(?:['’-][^\W\dA-Z_]+)*[\"'”“»›’)\].,;:!?…]*$")
 AFTER_END = re.compile(r"([.!?…؟।])[\"'”“»›)\]’」』]*\s+(\S+)")
-DOTTED = re.compile(r"(?<=[^\s.])\.\s+(\S+)")
+DOTTED = re.compile(r"(?<=[^\s.])(\.)\s+(\S+)")
 PAIRED = re.compile(r"[“”„«»‹›‘’「」『』()\[\]（）【】《》\"']")
 ABBREVIATED = re.compile(rf"{LETTER}{{1,3}}(?:\.{LETTER}{{1,3}})+$")
 
@@ -191,8 +191,10 @@ def type_of(token: str) -> tuple[str, bool]:
 
 
 def count_types(texts: Iterator[tuple[str, str | None]]) -> Counter:
-    """(language, type) -> with period, without; at a certain start, in the middle, behind a period."""
+    """(language, type, what, next): uses with a period and without; at a certain start, in the middle, behind
+    a period; a number behind its period; and what else behind its period could begin a sentence."""
     every: dict[str, Counter] = {}
+    pairs: dict[str, Counter] = {}
     placed: dict[tuple[str, str], Counter] = {}
     for text, hint in texts:
         for _, end, words in pieces_of(text):
@@ -204,6 +206,8 @@ def count_types(texts: Iterator[tuple[str, str | None]]) -> Counter:
             if not tokens:
                 continue
             every.setdefault(language, Counter()).update(tokens)
+            if "." in piece:
+                pairs.setdefault(language, Counter()).update((piece[token_start(piece, m.start()) : m.end(1)], m[2]) for m in DOTTED.finditer(piece))
             starts = placed.setdefault((language, "start"), Counter())
             starts[tokens[0]] += 1
             for mark, token in AFTER_END.findall(piece):
@@ -217,14 +221,24 @@ def count_types(texts: Iterator[tuple[str, str | None]]) -> Counter:
             core, period = type_of(token)
             if not core:
                 continue
-            counts[language, core.lower(), "with" if period else "without"] += n
+            counts[language, core.lower(), "with" if period else "without", ""] += n
             if not period and starts_high(core):
                 for what in ("start", "behind"):
                     if k := placed.get((language, what), {}).get(token, 0):
-                        counts[language, core, what] += k
+                        counts[language, core, what, ""] += k
                         n -= k
                 if n > 0:
-                    counts[language, core, "middle"] += n
+                    counts[language, core, "middle", ""] += n
+    for language, followed in pairs.items():
+        for (token, following), n in followed.items():
+            core, period = type_of(token)
+            if not period or not core:
+                continue
+            after, dotted = type_of(following)
+            if after == NUMBER:
+                counts[language, core.lower(), "number", ""] += n
+            elif starts_high(after):
+                counts[language, core.lower(), "then", after + "." * dotted] += n
     return counts
 
 
@@ -292,44 +306,20 @@ class Model:
         return (language, core) in self.starters
 
 
-def count_followers(texts: Iterator[tuple[str, str | None]], model: Model) -> Counter:
-    """(language, abbreviation, next type) behind a period, with how often that could begin a sentence."""
-    counts: Counter = Counter()
-    for text, hint in texts:
-        for start, end, words in pieces_of(text):
-            piece = text[words:end]
-            language = language_of(piece, hint)
-            if language in ("zh", "ja", "th") or "." not in piece:
-                continue
-            spans = protected(piece)
-            for m in DOTTED.finditer(piece):
-                at, following = m.start(), m[1]
-                if spans and any(a < at < b for a, b in spans):
-                    continue
-                begun = token_start(piece, at)
-                core, period = type_of(piece[begun : at + 1])
-                if not period or not core:
-                    continue
-                after, dotted = type_of(following)
-                if after == NUMBER:
-                    counts[language, core.lower(), "number"] += 1
-                    counts[language, "", "number"] += 1
-                if not model.is_abbreviation(language, core):
-                    continue
-                counts[language, core.lower(), "all"] += 1
-                if starts_high(after):
-                    counts[language, core.lower(), "high"] += 1
-                    if not dotted and model.starts(language, after):
-                        counts[language, core.lower(), "starter"] += 1
-    return counts
-
-
 # --- classifying -----------------------------------------------------------------------------------
 
 
 def ends_here(piece: str, marks: re.Match, language: str, model: Model) -> bool:
     """Whether the marks found outside quotes and brackets end a unit; what follows is not the piece's end."""
     text, end = marks[0], marks.end()
+    if text == ".":  # most periods are decided by their neighbours
+        near = piece[end : end + 2]
+        if near[:1].isdigit() or near[:1].islower():
+            return False
+        if near[:1] == " " and near[1:].isupper():
+            token = piece[token_start(piece, marks.start()) : marks.start()]
+            if len(token) > 1 and token.isalpha() and (language, token.lower()) not in model.abbreviations:
+                return True
     while end < len(piece) and piece[end] in CLOSERS and not (piece[end] in "\"'“" and end + 1 < len(piece) and not piece[end + 1].isspace()):
         end += 1
     if text[0] in ";\u037e" and language != "el":
@@ -469,58 +459,51 @@ def units_of(text: str | None, hint: str | None, model: Model) -> list[tuple[int
 
 # --- Spark -----------------------------------------------------------------------------------------
 
-COUNTS = "language string, type string, what string, n bigint"
-
+COUNTS = "language string, type string, what string, next string, n bigint"
 
-def _rows(counts: Counter) -> pd.DataFrame:
-    out = pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["language", "type", "what", "n"])
-    return out.astype({"n": "int64"})
 
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        counts = count_types((t, hint_of(h)) for t, h in zip(batch["text"], batch["lang"]))
+        out = pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["language", "type", "what", "next", "n"])
+        yield out.astype({"n": "int64"})
 
-def _counting(function, *arguments):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts.update(function(((t, hint_of(h)) for t, h in zip(batch["text"], batch["lang"])), *arguments))
-            if len(counts) > 500_000:
-                yield _rows(counts)
-                counts = Counter()
-        yield _rows(counts)
 
-    return count
+def _entries(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """Learned entries as a table; broadcast while they are few."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_ENTRIES else table
 
 
 def learn(texts: DataFrame) -> Model:
     """The model of all texts; ``texts`` has text and lang. Only what passes the thresholds is collected."""
-    unigrams = texts.mapInPandas(_counting(count_types), COUNTS).groupBy("language", "type").pivot("what", ["with", "without", "start", "middle", "behind"]).agg(F.sum("n")).na.fill(0)
-    unigrams = checkpoint(unigrams)
-    totals = {r["language"]: r for r in unigrams.groupBy("language").agg(F.sum("with").alias("w"), F.sum(F.col("with") + F.col("without")).alias("n"), F.sum("start").alias("s"), F.sum(F.col("start") + F.col("middle") + F.col("behind")).alias("c")).collect()}
+    spark = texts.sparkSession
+    counts = checkpoint(texts.mapInPandas(_count, COUNTS).groupBy("language", "type", "what", "next").agg(F.sum("n").alias("n")))
+    sums = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+    shapes = [sums(w) for w in ("with", "without", "start", "middle", "behind", "number")]
+    totals = {r["language"]: r for r in counts.groupBy("language").agg(*shapes).collect()}
+    unigrams = counts.filter("what <> 'then'").groupBy("language", "type").agg(*shapes)
     # coarse bounds first, in the engine: longer types and those mostly without period cannot reach the score
-    short = unigrams.filter((F.col("with") > 0) & (F.col("with") >= F.col("without")) & (F.length("type") <= 14))
-    abbreviations = [
-        (r["language"], r["type"])
-        for r in short.toLocalIterator()
-        if r["type"] != NUMBER and abbreviation_score(r["type"], r["with"], r["without"], totals[r["language"]]["w"], totals[r["language"]]["n"]) >= ABBREVIATION
-    ]
-    likely = unigrams.filter((F.col("start") >= 3) & (F.col("middle") <= MIDDLE * (F.col("start") + F.col("middle") + F.col("behind"))))
-    starters = [(r["language"], r["type"]) for r in likely.toLocalIterator() if is_starter(r["start"], r["middle"], r["behind"], totals[r["language"]]["s"], totals[r["language"]]["c"])]
-    model = Model(abbreviations, starters)
-    followers = texts.mapInPandas(_with_model(texts, model, lambda m: _counting(count_followers, m)), COUNTS)
-    followers = followers.groupBy("language", "type").pivot("what", ["all", "high", "starter", "number"]).agg(F.sum("n")).na.fill(0)
-    followers = followers.join(unigrams.select("language", "type", "with"), ["language", "type"], "left").na.fill(0)
-    numbers = {}
-    for r in followers.filter("high > 0 or number > 0").toLocalIterator():
-        if r["type"] == "":
-            numbers[r["language"]] = r["number"]
-            continue
-        if r["high"] and (r["starter"] + 0.5) / (r["high"] + 1) >= ENDS:
-            model.ends.add((r["language"], r["type"]))
-        if r["number"] >= NUMBERS * max(1, r["with"]):
-            model.collocations.add((r["language"], r["type"], NUMBER, r["number"], r["with"]))
-    model.collocations = {
-        (language, core, then) for language, core, then, k, n in model.collocations if n and log_likelihood(min(k, n), n, max(0, numbers[language] - k), max(1, totals[language]["w"] - n)) >= COLLOCATION
-    }
-    return model
+    short = (F.col("with") > 0) & (F.col("with") >= F.col("without")) & (F.length("type") <= 14)
+    likely = (F.col("start") >= 3) & (F.col("middle") <= MIDDLE * (F.col("start") + F.col("middle") + F.col("behind")))
+    numbered = F.col("number") >= NUMBERS * F.col("with")
+    abbreviations, starters, collocations = [], [], []
+    for r in unigrams.filter(short | likely | (numbered & (F.col("number") > 0))).toLocalIterator():
+        key, t = (r["language"], r["type"]), totals[r["language"]]
+        if r["type"] != NUMBER and r["with"] >= r["without"] and len(r["type"]) <= 14 and abbreviation_score(r["type"], r["with"], r["without"], t["with"], t["with"] + t["without"]) >= ABBREVIATION:
+            abbreviations.append(key)
+        if is_starter(r["start"], r["middle"], r["behind"], t["start"], t["start"] + t["middle"] + t["behind"]):
+            starters.append(key)
+        if r["number"] and r["number"] >= NUMBERS * r["with"] and log_likelihood(min(r["number"], r["with"]), max(1, r["with"]), t["number"] - r["number"], t["with"] - r["with"]) >= COLLOCATION:
+            collocations.append((*key, NUMBER))
+    tied = _entries(spark, abbreviations, "language string, type string").withColumn("tied", F.lit(True))
+    begins = _entries(spark, starters, "language string, next string").withColumn("begins", F.lit(1))
+    then = counts.filter("what = 'then'").join(tied, ["language", "type"], "left")
+    always = F.col("type").rlike(r"^(##|\p{L}|\p{L}{1,3}(\.\p{L}{1,3})+)$")
+    then = then.filter(F.col("tied") | always).join(begins, ["language", "next"], "left")
+    high = then.groupBy("language", "type").agg(F.sum("n").alias("high"), F.coalesce(F.sum(F.col("n") * F.col("begins")), F.lit(0)).alias("starter"))
+    ends = [(r["language"], r["type"]) for r in high.filter((F.col("starter") + 0.5) / (F.col("high") + 1) >= ENDS).toLocalIterator()]
+    return Model(abbreviations, starters, ends, collocations)
 
 
 def _with_model(df: DataFrame, model: Model, make):
