@@ -77,7 +77,7 @@ CASELESS = frozenset({"ar", "hi", "ko", "th", "zh", "ja"})
 #: A lower-case word as it stands inside sentences; names like iPad, identifiers and file names are not.
 PLAIN = re.compile(r"[\"'“„«‹‘(\[]*[^\W\dA-Z_]+(?:['’-][^\W\dA-Z_]+)*[\"'”“»›’)\].,;:!?…]*$")
 AFTER_END = re.compile(r"([.!?…؟।])[\"'”“»›)\]’」』]*\s+(\S+)")
-DOTTED = re.compile(r"(?<=[^\s.])(\.)\s+(\S+)")
+DOTTED = re.compile(r"(?<=[^\s.])(\.)(?=\s+(\S+))")
 PAIRED = re.compile(r"[“”„«»‹›‘’「」『』()\[\]（）【】《》\"']")
 ABBREVIATED = re.compile(rf"{LETTER}{{1,3}}(?:\.{LETTER}{{1,3}})+$")
 
