@@ -39,14 +39,18 @@ def shards_for(rows: int, rows_per_shard: int, at_least: int = 1) -> int:
     return max(at_least, math.ceil(rows / rows_per_shard))
 
 
+#: Every character that counts as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(column: Column) -> Column:
-    """Trim every kind of Unicode white space from both ends."""
-    return F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Trim every kind of Unicode white space from both ends; looks at the ends only."""
+    return F.btrim(column, F.lit(WHITE))
 
 
 def is_blank(column: Column) -> Column:
     """True for null, empty and white-space-only strings."""
-    return F.coalesce(~column.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(True))
+    return F.coalesce(strip(column) == "", F.lit(True))
 
 
 def fits_in_broadcast(df: DataFrame, most_rows: int) -> bool:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,31 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "collection")
 
 
-def read_page_cache(spark: SparkSession, root: str) -> DataFrame:
-    """Cached pages: cache_key (the path below the root, without .html) and html."""
-    base = F.lit(f"{os.path.abspath(root)}/") if "://" not in root else F.lit(root.rstrip("/") + "/")
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(root, wholetext=True)
-    name = F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), base, F.lit(""))
-    return files.select(F.regexp_replace(name, r"\.html$", "").alias("cache_key"), F.col("value").alias("html"))
+def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.fs as fs
+
+    for batch in batches:
+        pages = []
+        for root, name in zip(batch["root"], batch["name"]):
+            system, inner = fs.FileSystem.from_uri(root)
+            with system.open_input_stream(f"{inner}/{name}") as source:
+                pages.append(source.read().decode("utf-8", "replace"))
+        yield pd.DataFrame({"cache_key": batch["name"].str.removesuffix(".html"), "html": pages})
+
+
+def read_page_cache(spark: SparkSession, root: str, pages_per_task: int = 500) -> DataFrame:
+    """Cached pages: cache_key (the path below the root, without .html) and html.
+
+    The names are listed here, as the engine's own listing leaves out names that begin with an underscore,
+    which index pages do; the pages are read by the workers.
+    """
+    import pyarrow.fs as fs
+
+    uri = root.rstrip("/") if "://" in root else f"file://{os.path.abspath(root)}"
+    system, inner = fs.FileSystem.from_uri(uri)
+    names = [(uri, f.path[len(inner) + 1 :]) for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file and f.path.endswith(".html")]
+    listed = spark.createDataFrame(names, "root string, name string").repartition(max(1, len(names) // pages_per_task))
+    return listed.mapInPandas(_read_pages, "cache_key string, html string")
 
 
 def cached_pages(urls: DataFrame, cache: DataFrame) -> DataFrame:
