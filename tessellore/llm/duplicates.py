@@ -206,7 +206,7 @@ def taking_part(df: DataFrame, id_col: str, text_col: str, least_chars: int) ->
     """doc, body and a 128-bit hash of the body, of the texts long enough."""
     rows = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
     rows = rows.filter(F.col("doc").isNotNull() & (F.length("body") >= least_chars) & (F.length(strip(F.col("body"))) >= least_chars))
-    return rows.select("doc", "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), F.reverse("body")).alias("h2"))
+    return rows.select("doc", "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "body_md", words: int = WORDS, least: float = LEAST, least_chars: int = 0, weighted: bool = False, components_count: int = COMPONENTS) -> DataFrame:
@@ -243,7 +243,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "bo
         links = links.unionByName(late)
         labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
-    members = texts.select("doc", "h1", "h2")
+    members = checkpoint(texts.select("doc", "h1", "h2"))
     of_copies = members.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     return (
         members.join(of_copies, ["h1", "h2"])
