@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tessellore.runtime import checkpoint, ensure_checkpoint_dir
 
 MOST_ENTRIES = 200_000
+MOST_HELD = 64_000_000  # characters whose counts are made at once
 ABBREVIATION = 0.3  # least abbreviation score
 STARTER = 20.0  # least log-likelihood ratio of a sentence starter
 FREQUENT = 0.005  # least share of a starter in all starts of its language
@@ -46,7 +47,8 @@ LETTER = r"[^\W\d_]"
 BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 BULLET = re.compile(r"[^\S\n]*([-*+•‣◦–])[^\S\n]+(?=\S)")
 NUMBERED = re.compile(r"[^\S\n]*\(?(\d{1,3})[.)][^\S\n]+(?=\S)")
-MARKS = re.compile(r"[.!?…。！？｡؟।॥۔;\u037e]+")
+ENDING = ".!?…。！？｡؟।॥۔;\u037e"
+MARKS = re.compile(f"[{ENDING}]+")
 OPENERS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "‘": "’"}
 CLOSERS = frozenset("”“»›」』)]）】》’\"'")
 LEADING = "\"'“„«‹‘¿¡([（「『*_—–- "
@@ -58,6 +60,7 @@ STRONG = frozenset("!?؟।॥۔。！？｡")
 TH = re.compile(r"(?<=[\u0e00-\u0e7f])\s+(?=[\u0e00-\u0e7f])")
 NUMBER = "##"
 WORD = re.compile(rf"{LETTER}+(?:['’-]{LETTER}+)*")
+DOTTED_ON = re.compile(r"\.\w")
 ZONE = re.compile(rf"{LETTER}+ time\b")
 WINDOW = 400  # how far a decision looks ahead at first; beyond only if there is nothing but white space
 # Frequent function words by which the languages in Latin script are told apart.
@@ -67,7 +70,7 @@ FUNCTION_WORDS = {
     "fr": "le la les des et est une dans pour que avec sur du au ne pas il sa avant avez",
     "es": "el la los las y es una en para que con por del se su antes hay cada al no",
 }
-FUNCTION_SETS = {name: frozenset(words.split()) for name, words in FUNCTION_WORDS.items()}
+FUNCTION_SETS = {name: frozenset(f"{words} {words.title()}".split()) for name, words in FUNCTION_WORDS.items()}
 SCRIPTS = (
     ("ja", re.compile(r"[\u3040-\u30ff]")), ("ko", re.compile(r"[\uac00-\ud7af\u1100-\u11ff]")), ("zh", re.compile(r"[\u3400-\u9fff]")), ("th", re.compile(r"[\u0e00-\u0e7f]")),
     ("ar", re.compile(r"[\u0600-\u06ff]")), ("hi", re.compile(r"[\u0900-\u097f]")), ("ru", re.compile(r"[\u0400-\u04ff]")), ("el", re.compile(r"[\u0370-\u03ff]")),
@@ -77,26 +80,28 @@ CASELESS = frozenset({"ar", "hi", "ko", "th", "zh", "ja"})
 #: A lower-case word as it stands inside sentences; names like iPad, identifiers and file names are not.
 PLAIN = re.compile(r"[\"'“„«‹‘(\[]*[^\W\dA-Z_]+(?:['’-][^\W\dA-Z_]+)*[\"'”“»›’)\].,;:!?…]*$")
 AFTER_END = re.compile(r"([.!?…؟।])[\"'”“»›)\]’」』]*\s+(\S+)")
-DOTTED = re.compile(r"(?<=[^\s.])(\.)(?=\s+(\S+))")
 PAIRED = re.compile(r"[“”„«»‹›‘’「」『』()\[\]（）【】《》\"']")
 ABBREVIATED = re.compile(rf"{LETTER}{{1,3}}(?:\.{LETTER}{{1,3}})+$")
 
 
-def language_of(text: str, hint: str | None) -> str:
-    """The language of a paragraph: by script, in Latin script by function words, else the hint."""
-    if NOT_LATIN.search(text):
+def language_of(text: str, hint: str | None, latin: bool = False, tokens: list[str] | None = None) -> str:
+    """The language of a paragraph: by script, in Latin script by function words, else the hint.
+
+    ``latin`` says that the whole text is known to hold no other script, ``tokens`` are the text split already.
+    """
+    if not latin and NOT_LATIN.search(text):
         here = [(name, p) for name, p in SCRIPTS if p.search(text)]
         if here:
             if len(here) == 1 or here[0][0] == "ja":
                 return here[0][0]
             return max(here, key=lambda x: len(x[1].findall(text)))[0]
-    words = set(text.lower().split())
-    votes = {name: len(words & own) for name, own in FUNCTION_SETS.items()}
-    most = max(votes.values())
-    if not most:
-        return hint if hint in votes else "en"
-    best = [name for name, n in votes.items() if n == most]
-    return hint if hint in best else best[0]
+    words = set(text.split() if tokens is None else tokens)
+    most, best = 0, "en" if hint not in FUNCTION_SETS else hint
+    for name, own in FUNCTION_SETS.items():
+        votes = len(words & own)
+        if votes > most or votes == most and votes and name == hint:
+            most, best = votes, name
+    return best
 
 
 def hint_of(lang: str | None) -> str | None:
@@ -116,13 +121,20 @@ def pieces_of(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 def _items(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    if text.find("\n", start, end) < 0:  # one line
+        marker = None if text[start : start + 1].isalpha() else BULLET.match(text, start, end) or NUMBERED.match(text, start, end)
+        if start < end:
+            yield start, end, marker.end() if marker else start
+        return
     first, begin, words, number, listed = True, start, start, None, False
     at = start
     while at < end:
         stop = text.find("\n", at, end)
         stop = end if stop < 0 else stop
-        bullet = BULLET.match(text, at, stop)
-        numbered = None if bullet else NUMBERED.match(text, at, stop)
+        bullet = numbered = None
+        if not text[at : at + 1].isalpha():
+            bullet = BULLET.match(text, at, stop)
+            numbered = None if bullet else NUMBERED.match(text, at, stop)
         value = int(numbered[1]) if numbered else None
         fits = numbered and (first or (listed and number is not None and value in (number, number + 1)) or (value == 1 and text[at - 2 : at - 1] == ":"))
         if bullet or fits:
@@ -158,6 +170,8 @@ def protected(text: str) -> list[tuple[int, int]]:
         elif c in OPENERS:
             stack.append((i, OPENERS[c]))
     spans.sort()
+    if not spans:
+        return spans
     outer: list[tuple[int, int]] = []
     for a, b in spans:
         if not outer or a > outer[-1][1]:
@@ -193,28 +207,22 @@ def type_of(token: str) -> tuple[str, bool]:
 def count_types(texts: Iterator[tuple[str, str | None]]) -> Counter:
     """(language, type, what, next): uses with a period and without; at a certain start, in the middle, behind
     a period; a number behind its period; and what else behind its period could begin a sentence."""
-    every: dict[str, Counter] = {}
-    pairs: dict[str, Counter] = {}
-    placed: dict[tuple[str, str], Counter] = {}
+    every: dict[str, Counter] = defaultdict(Counter)
+    pairs: dict[str, Counter] = defaultdict(Counter)
+    starts: dict[str, Counter] = defaultdict(Counter)
+    behind: dict[str, Counter] = defaultdict(Counter)
     for text, hint in texts:
+        latin = not NOT_LATIN.search(text)
         for _, end, words in pieces_of(text):
             piece = text[words:end]
-            language = language_of(piece, hint)
-            if language in ("zh", "ja", "th"):
-                continue
             tokens = piece.split()
-            if not tokens:
+            if not tokens or (language := language_of(piece, hint, latin, tokens)) in ("zh", "ja", "th"):
                 continue
-            every.setdefault(language, Counter()).update(tokens)
-            if "." in piece:
-                pairs.setdefault(language, Counter()).update((piece[token_start(piece, m.start()) : m.end(1)], m[2]) for m in DOTTED.finditer(piece))
-            starts = placed.setdefault((language, "start"), Counter())
-            starts[tokens[0]] += 1
+            every[language].update(tokens)
+            starts[language][tokens[0]] += 1
+            pairs[language].update([(a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] == "." and a[-2:] not in (".", "..")])
             for mark, token in AFTER_END.findall(piece):
-                if mark in ".…":
-                    placed.setdefault((language, "behind"), Counter())[token] += 1
-                else:
-                    starts[token] += 1
+                (behind if mark in ".…" else starts)[language][token] += 1
     counts: Counter = Counter()
     for language, tokens in every.items():
         for token, n in tokens.items():
@@ -223,8 +231,8 @@ def count_types(texts: Iterator[tuple[str, str | None]]) -> Counter:
                 continue
             counts[language, core.lower(), "with" if period else "without", ""] += n
             if not period and starts_high(core):
-                for what in ("start", "behind"):
-                    if k := placed.get((language, what), {}).get(token, 0):
+                for what, there in (("start", starts[language]), ("behind", behind[language])):
+                    if k := there.get(token, 0):
                         counts[language, core, what, ""] += k
                         n -= k
                 if n > 0:
@@ -277,9 +285,8 @@ def is_starter(start: int, middle: int, behind: int, all_starts: int, everything
 
 def token_start(piece: str, at: int) -> int:
     """Where the token that reaches to ``at`` begins."""
-    while at > 0 and not piece[at - 1].isspace():
-        at -= 1
-    return at
+    token = piece[piece.rfind(" ", 0, at) + 1 : at].split()
+    return at - len(token[-1]) if token and not piece[at - 1].isspace() else at
 
 
 class Model:
@@ -347,15 +354,20 @@ def ends_here(piece: str, marks: re.Match, language: str, model: Model) -> bool:
             return False
         own = token.strip(STRIP)
         begins = WORD.match(following)
-        begun = begins[0] if begins else ""
-        if "." in own or not own or not begun or len(own) < 2:
+        if len(own) < 2 or begins is None or len(begins[0]) < 2:
             return False
-        if model.starts(language, begun) and len(begun) > 1:
+        begun = begins[0]
+        if model.is_abbreviation(language, own) and (language, own.lower()) not in model.ends:
+            return False
+        if model.starts(language, begun):
             return True
-        if own.isdigit() or not own.isalpha():
+        if not WORD.fullmatch(own):
             return False
-        plain = own.islower() or not (own[0].islower() or own[0].isupper())
-        return plain and len(begun) > 1 and (begun[0].isupper() and begun[1:].islower() or not (begun[0].islower() or begun[0].isupper()))
+        high = begun[0].isupper() and begun[1:].islower()
+        if not own[0].isupper():
+            return high or not (begun[0].isupper() or begun[0].islower())
+        # a name in front: not inside a dotted identifier
+        return len(own) > 3 and begun[0].isupper() and (high and not DOTTED_ON.match(following, len(begun)) or bool(ABBREVIATED.match(following.rstrip(".,;:"))))
     low = first.islower() and language not in CASELESS
     if low and PLAIN.match(TOKEN.match(bare)[0]):
         return False
@@ -397,7 +409,7 @@ def closes_unit(piece: str, a: int, b: int, begin: int, language: str) -> bool:
     if not rest[:1].isspace():
         if language not in ("zh", "ja") or after[0] in "，、；：,;:。！？.!?…":
             return False
-        led = piece[begin:a].rstrip()
+        led = piece[begin:a].strip()
         return led.endswith(("：", ":")) or not led and piece[a] in "(（[【"
     if not first.isalnum():
         return False
@@ -409,51 +421,47 @@ def units_of(text: str | None, hint: str | None, model: Model) -> list[tuple[int
     out: list[tuple[int, int]] = []
     if text is None:
         return out
+    latin = not NOT_LATIN.search(text)
     for start, end, words in pieces_of(text):
         piece = text[words:end]
-        language = language_of(piece, hint)
-        cuts: list[int] = []
-        if language == "th":
-            cuts += [m.start() for m in TH.finditer(piece)]
+        language = language_of(piece, hint, latin)
         spans = protected(piece)
-        inside = iter(spans)
-        events: list[tuple[int, object]] = [(b, (a, b)) for a, b in spans]
-        span = next(inside, None)
-        for m in MARKS.finditer(piece):
-            while span is not None and span[1] < m.start():
-                span = next(inside, None)
-            if span is not None and span[0] < m.start():
-                continue
-            events.append((m.start(), m))
-        events.sort(key=lambda e: e[0])
+        cuts: list[int] = []
+        if not spans and language != "th" and ((m := MARKS.search(piece)) is None or m.end() >= len(piece)):
+            events = ()
+        elif spans:
+            events: list[tuple[int, object]] = [(b, (a, b)) for a, b in spans]
+            opened = {a for a, _ in spans}
+            outside = iter((*spans, None))
+            span = next(outside)
+            for m in MARKS.finditer(piece):
+                while span is not None and span[1] < m.start():
+                    span = next(outside)
+                if span is None or span[0] >= m.start():
+                    events.append((m.start(), m))
+            events.sort(key=lambda e: e[0])
+        else:
+            events, opened = [(0, m) for m in MARKS.finditer(piece)], frozenset()
         begin = 0
         for _, event in events:
             if isinstance(event, tuple):
                 if closes_unit(piece, *event, begin, language):
-                    cuts.append(event[1] + 1)
                     begin = event[1] + 1
-                    while begin < len(piece) and piece[begin].isspace():
-                        begin += 1
+                    cuts.append(begin)
             elif ends_here(piece, event, language, model):
-                at = event.end()
-                opened = {a for a, _ in spans}
-                while at < len(piece) and piece[at] in CLOSERS and at not in opened:
-                    at += 1
-                cuts.append(at)
-                begin = at
-                while begin < len(piece) and piece[begin].isspace():
+                begin = event.end()
+                while begin < len(piece) and piece[begin] in CLOSERS and begin not in opened:
                     begin += 1
+                cuts.append(begin)
+        if language == "th":
+            cuts = sorted({*cuts, *(m.start() for m in TH.finditer(piece))})
         at = start
-        for cut in [*sorted(set(cuts)), len(piece)]:
-            cut += words
-            a, b = at, cut
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and text[b - 1].isspace():
-                b -= 1
-            if b > a:
-                out.append((a, b))
-            at = cut
+        for cut in (*cuts, len(piece)):
+            part = text[at : cut + words]
+            if bare := part.strip():
+                first = at + len(part) - len(part.lstrip())
+                out.append((first, first + len(bare)))
+            at = cut + words
     return out
 
 
@@ -463,10 +471,22 @@ COUNTS = "language string, type string, what string, next string, n bigint"
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of several batches together, so that repeated types are few rows; passed on before they grow large."""
+    held: list[tuple[str, str | None]] = []
+    size = 0
     for batch in batches:
-        counts = count_types((t, hint_of(h)) for t, h in zip(batch["text"], batch["lang"]))
-        out = pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["language", "type", "what", "next", "n"])
-        yield out.astype({"n": "int64"})
+        held += zip(batch["text"], map(hint_of, batch["lang"]))
+        size = sum(len(t) for t, _ in held)
+        if size > MOST_HELD:
+            yield _counted(held)
+            held = []
+    yield _counted(held)
+
+
+def _counted(texts: list[tuple[str, str | None]]) -> pd.DataFrame:
+    counts = count_types(iter(texts))
+    keys = list(zip(*counts)) or [(), (), (), ()]
+    return pd.DataFrame({"language": keys[0], "type": keys[1], "what": keys[2], "next": keys[3], "n": pd.Series(list(counts.values()), dtype="int64")}).astype({k: object for k in ("language", "type", "what", "next")})
 
 
 def _entries(spark, rows: list[tuple], schema: str) -> DataFrame:
