@@ -27,6 +27,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -427,9 +428,7 @@ def units_of(text: str | None, hint: str | None, model: Model) -> list[tuple[int
         language = language_of(piece, hint, latin)
         spans = protected(piece)
         cuts: list[int] = []
-        if not spans and language != "th" and ((m := MARKS.search(piece)) is None or m.end() >= len(piece)):
-            events = ()
-        elif spans:
+        if spans:
             events: list[tuple[int, object]] = [(b, (a, b)) for a, b in spans]
             opened = {a for a, _ in spans}
             outside = iter((*spans, None))
@@ -441,7 +440,7 @@ def units_of(text: str | None, hint: str | None, model: Model) -> list[tuple[int
                     events.append((m.start(), m))
             events.sort(key=lambda e: e[0])
         else:
-            events, opened = [(0, m) for m in MARKS.finditer(piece)], frozenset()
+            events, opened = [(0, m) for m in MARKS.finditer(piece) if m[0] != "." or not (near := piece[m.end() : m.end() + 1]).isdigit() and not near.islower()], frozenset()
         begin = 0
         for _, event in events:
             if isinstance(event, tuple):
@@ -458,9 +457,9 @@ def units_of(text: str | None, hint: str | None, model: Model) -> list[tuple[int
         at = start
         for cut in (*cuts, len(piece)):
             part = text[at : cut + words]
-            if bare := part.strip():
-                first = at + len(part) - len(part.lstrip())
-                out.append((first, first + len(bare)))
+            if bare := part.lstrip():
+                first = cut + words - len(bare)
+                out.append((first, first + len(bare.rstrip())))
             at = cut + words
     return out
 
@@ -549,13 +548,11 @@ def _with_model(df: DataFrame, model: Model, make):
 def _splitting(model: Model):
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for doc, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                for a, b in units_of(text, hint_of(lang), model):
-                    ids.append(doc)
-                    starts.append(a)
-                    ends.append(b)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "start_char": pd.array(starts, dtype="int64"), "end_char": pd.array(ends, dtype="int64")})
+            found = [units_of(text, hint_of(lang), model) for text, lang in zip(batch["text"], batch["lang"])]
+            flat = np.array([u for units in found for u in units], dtype=np.int64).reshape(-1, 2)
+            owner = np.repeat(np.arange(len(found)), [len(units) for units in found])
+            ids = batch["doc_id"].astype("Int64").take(owner).reset_index(drop=True)
+            yield pd.DataFrame({"doc_id": ids, "start_char": flat[:, 0], "end_char": flat[:, 1]})
 
     return split
 
