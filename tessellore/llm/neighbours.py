@@ -34,11 +34,11 @@ from tessellore.runtime import checkpoint
 
 DIMENSION = 64
 K = 5
-LINKS = 12
-EF_BUILD = 48
-EF_SEARCH = 48
+LINKS = 16
+EF_BUILD = 64
+EF_SEARCH = 64
 PROBES = 4
-CELL_ROWS = 16_384
+CELL_ROWS = 32_768
 MOST_CELLS = 4_096
 SHARD_ROWS = 65_536
 SAMPLE = 20_000
