@@ -3,10 +3,9 @@
 Equal vectors are collapsed first and shared out again at the end, so a vector held by a third of
 all rows is one node. Shards are the cells of a coarse quantiser: k-means centroids fitted on a
 bounded sample (`SAMPLE` distinct vectors, those of smallest hash); every distinct vector is indexed
-in its nearest cell, and every one is looked up in its `PROBES` nearest cells, of about `CELL_ROWS`
-vectors each. A cell with more than `SHARD_ROWS` vectors is divided over several graphs, all of which
-are searched. Up to `PROBES` cells the accuracy is that of the graphs; beyond, vectors without any
-close neighbour lose some of their distant ones.
+in its nearest cell, of about `CELL_ROWS` vectors. A cell with more than `SHARD_ROWS` vectors is
+divided over several graphs. Every vector is looked up in every graph and the results are merged: the
+accuracy is that of the graphs at any count, and the work grows with vectors times graphs.
 
 A shard's graph is hierarchical: a node reaches level L with probability m^-L (from a hash of its
 key), each level links its nodes to diverse near neighbours, a search descends greedily through the
@@ -37,7 +36,8 @@ K = 5
 LINKS = 16
 EF_BUILD = 64
 EF_SEARCH = 64
-PROBES = 4
+SLICES = 4
+SLICE_ROWS = 131_072
 CELL_ROWS = 32_768
 MOST_CELLS = 4_096
 SHARD_ROWS = 65_536
@@ -256,26 +256,17 @@ def pack_vectors(df: DataFrame, id_col: str, vector_col: str, dimension: int) ->
     return rows.select("vec_id", same.alias("v")).select("vec_id", F.xxhash64("v").alias("key"), F.xxhash64("v", F.lit(1)).alias("key2"), "v")
 
 
-def _route(centres: np.ndarray, shards: np.ndarray, probes: int, dimension: int, queries: bool):
-    """Rows to shards: a point to one of its cell's, a query to all of its nearest cells'."""
+def _route(centres: np.ndarray, shards: np.ndarray, dimension: int):
+    """Points to a shard of their nearest cell."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = np.concatenate([[0], np.cumsum(shards)])
         for batch in batches:
             if not len(batch):
                 continue
-            sims = unit(batch["packed"], dimension) @ centres.T
-            n = min(probes, len(centres)) if queries else 1
-            cells = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-            if not queries:
-                cell = cells[:, 0]
-                salt = (batch["node"].to_numpy().astype(np.uint64) >> np.uint64(7)) % shards[cell].astype(np.uint64)
-                yield pd.DataFrame({"shard": first[cell] + salt.astype(np.int64), "node": batch["node"], "packed": batch["packed"]})
-                continue
-            width = shards[cells]
-            row, column = np.repeat(np.arange(cells.size), width.ravel()), np.arange(width.sum()) - np.repeat(np.cumsum(width.ravel()) - width.ravel(), width.ravel())
-            source = row // n
-            yield pd.DataFrame({"shard": first[cells.ravel()[row]] + column, "node": batch["node"].to_numpy()[source], "packed": batch["packed"].to_numpy()[source]})
+            cell = (unit(batch["packed"], dimension) @ centres.T).argmax(1)
+            salt = (batch["node"].to_numpy().astype(np.uint64) >> np.uint64(7)) % shards[cell].astype(np.uint64)
+            yield pd.DataFrame({"shard": first[cell] + salt.astype(np.int64), "node": batch["node"], "packed": batch["packed"]})
 
     return route
 
@@ -329,7 +320,7 @@ def _search(dimension: int, k: int, ef: int):
 
 def build_index(groups: DataFrame, centres: np.ndarray, shards: np.ndarray, dimension: int = DIMENSION, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
     """One row of flat arrays per shard over ``groups`` (node, packed)."""
-    points = groups.select("node", "packed").mapInPandas(_route(centres, shards, 1, dimension, False), "shard bigint, node bigint, packed binary")
+    points = groups.select("node", "packed").mapInPandas(_route(centres, shards, dimension), "shard bigint, node bigint, packed binary")
     return points.groupBy("shard").applyInPandas(_build(dimension, links, ef), INDEX_SCHEMA)
 
 
@@ -338,7 +329,7 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("key", "key2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
 
 
-def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, probes: int = PROBES, cell_rows: int = CELL_ROWS, links: int = LINKS, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, cell_rows: int = CELL_ROWS, links: int = LINKS, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH) -> DataFrame:
     """For every usable row its k most similar other rows: vec_id, rank from 1, neighbour_id, cosine."""
     spark = df.sparkSession
     rows = pack_vectors(df, id_col, vector_col, dimension)
@@ -350,15 +341,16 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     cells = min(MOST_CELLS, max(1, math.ceil(count / cell_rows)))
     sample = groups.select("packed", F.xxhash64("node", F.lit(7)).alias("h")).orderBy("h").limit(max(SAMPLE, 4 * cells)).select("packed").toPandas()
     centres = centroids_of(unit(sample["packed"], dimension), cells)
-    in_cell = groups.select("node", "packed").mapInPandas(_route(centres, np.ones(cells, dtype=np.int64), 1, dimension, False), "shard bigint, node bigint, packed binary").groupBy("shard").count().collect()  # a row per cell
+    in_cell = groups.select("node", "packed").mapInPandas(_route(centres, np.ones(cells, dtype=np.int64), dimension), "shard bigint, node bigint, packed binary").groupBy("shard").count().collect()  # a row per cell
     shards = np.ones(cells, dtype=np.int64)
     for r in in_cell:
         shards[r["shard"]] = math.ceil(r["count"] / SHARD_ROWS)
     index = build_index(groups, centres, shards, dimension, links, ef_build)
-    queries = groups.select("node", "packed").mapInPandas(_route(centres, shards, probes, dimension, True), "shard bigint, node bigint, packed binary")
-    # a cell is asked about `probes` times as many vectors as it holds: in so many slices, each with the graph
-    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
-    queries = queries.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(probes)).cast("int"))
+    # every graph is asked about all vectors: in slices, each with a copy of the graph
+    slices = max(SLICES, math.ceil(count / SLICE_ROWS))
+    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    queries = groups.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(shards.sum()) - 1).cast("bigint"))).alias("shard"), "node", "packed")
+    queries = queries.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int"))
     near = index.groupBy("shard", "slice").cogroup(queries.groupBy("shard", "slice")).applyInPandas(_search(dimension, k, ef_search), "node bigint, other bigint, sim float")
     best = near.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "other"))).filter(F.col("place") <= k)
     best = checkpoint(best.select("node", "other", F.col("sim").cast("double").alias("sim")))

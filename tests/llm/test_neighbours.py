@@ -76,6 +76,18 @@ def test_many_shards_merge(spark):
     assert np.mean([r["cosine"] >= best[r["vec_id"]] - 1e-4 for r in got]) >= 0.95
 
 
+def test_distant_neighbours_are_found_in_many_cells(spark):
+    """Vectors without any close neighbour, in ten times the cells that used to be searched."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(2000, 16)).astype(np.float32)
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    best = exact(vectors, 5)[:, 4]
+    got = nb.neighbours(spark.createDataFrame(rows, SCHEMA), dimension=16, cell_rows=50).collect()
+    assert len(got) == 10_000
+    assert sum(r["cosine"] >= best[r["vec_id"]] - 1e-5 for r in got) / len(got) >= 0.95
+
+
 def test_few_and_none(spark):
     assert nb.neighbours(spark.createDataFrame([], SCHEMA), dimension=2).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0], "x", 1)], SCHEMA)
