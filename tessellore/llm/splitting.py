@@ -4,8 +4,9 @@ A giant text is worked on in ranges. Each range comes with a halo on its right t
 a piece, so the worker of a range finds its own first boundary and that of the next range by
 itself: the boundary tables of neighbours agree without talking to each other. What a range
 returns, its length, number of pieces and longest unbroken run, is stitched by prefix sums to
-offsets and piece numbers of the whole text. Texts of a column are cut this way by character
-ranges, files by byte ranges, of which no worker ever loads more than its own and the halo.
+offsets and piece numbers of the whole text. A halo of ``overlap`` characters on the left lets the
+first piece of an inner range overlap the last piece of the range before. Texts of a column are cut this way by character
+ranges, files by byte ranges, of which no worker ever loads more than its own and the halos.
 
 Pieces are slices [start, end) of the text. Each ends at the strongest boundary in its last part
 (blank line, line end, sentence end, then white space); its successor starts exactly ``overlap``
@@ -73,9 +74,9 @@ def cut_at(text: str, low: int, high: int) -> tuple[int, str] | None:
     return None
 
 
-def cut(text: str, first: int, last: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """The pieces of text[first:last] as (start, end, kind of the boundary at the end)."""
-    pieces, start, done = [], first, first  # done: all before it is in some piece
+def cut(text: str, first: int, last: int, limit: int = LIMIT, overlap: int = OVERLAP, lead: int = 0) -> list[tuple[int, int, str]]:
+    """The pieces of text[first:last] as (start, end, kind of the boundary at the end); the first one starts ``lead`` before."""
+    pieces, start, done = [], first - lead, first  # done: all before it is in some piece
     while True:
         if last - start <= limit:
             pieces.append((start, last, "end"))
@@ -95,7 +96,7 @@ def cut(text: str, first: int, last: int, limit: int = LIMIT, overlap: int = OVE
         pieces.append((start, end, kind))
         if end >= last:
             return pieces
-        done, start = end, max(end - overlap, first, start + 1)
+        done, start = end, max(end - overlap, first - lead, start + 1)
 
 
 def longest_run(text: str) -> int:
@@ -112,9 +113,9 @@ def range_start(text: str, at: int) -> int:
     return min(at, len(text))
 
 
-def bounds(text: str, is_first: bool, to: int) -> tuple[int, int]:
-    """The stretch of a range's text (with its halo) that is the range's own; ``to`` is where the next begins."""
-    first = 0 if is_first else range_start(text, 0)
+def bounds(text: str, is_first: bool, at: int, to: int) -> tuple[int, int]:
+    """The stretch of a range's text (with its halos) that is the range's own; it begins at ``at``, the next one at ``to``."""
+    first = 0 if is_first else range_start(text, at)
     last = range_start(text, to) if to < len(text) else len(text)
     return first, max(first, last)
 
@@ -144,9 +145,10 @@ def _ranges(limit: int, overlap: int, range_chars: int):
         for batch in batches:
             rows = []
             for table, row, doc, number, text in zip(*(batch[c] for c in ("tbl", "row_id", "doc", "range", "part"))):
-                first, last = bounds(text, number == 0, range_chars)
-                own = cut(text, first, last, limit, overlap) if last > first else []
-                base = number * range_chars
+                at = min(overlap, number * range_chars)  # the left halo's length
+                first, last = bounds(text, number == 0, at, at + range_chars)
+                own = cut(text, first, last, limit, overlap, min(overlap, first)) if last > first else []
+                base = number * range_chars - at
                 pieces = [(i, a + base, b + base, how, text[a:b]) for i, (a, b, how) in enumerate(own)]
                 rows.append((table, row, doc, number, longest_run(text[first:last]), pieces))
             out = pd.DataFrame(rows, columns=["tbl", "row_id", "doc", "range", "longest", "pieces"])
@@ -170,12 +172,14 @@ def split_texts(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, thres
     small = rows.filter((length > threshold) & (length <= range_chars)).mapInPandas(_small(limit, overlap), columns)
     giant = rows.filter((length > threshold) & (length > range_chars)).withColumn("doc", F.monotonically_increasing_id())
     halo = max(HALO, 4 * limit)
+    begin = F.col("range") * range_chars
+    left = F.least(begin, F.lit(overlap))
     ranged = giant.withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / range_chars).cast("int")))).select(
         "tbl",
         "row_id",
         "doc",
         "range",
-        F.substring("body", F.col("range") * range_chars + 1, F.lit(range_chars + halo)).alias("part"),
+        F.substring("body", begin - left + 1, left + range_chars + halo).alias("part"),
     )
     inner = PIECES.replace(", ", ",").replace(" ", ":")
     parts = f"tbl string, row_id bigint, doc bigint, range int, longest int, pieces array<struct<{inner}>>"
@@ -235,13 +239,17 @@ def _file_ranges(limit: int, overlap: int, range_bytes: int):
             rows = []
             for path, size, number in zip(batch["path"], batch["length"], batch["range"]):
                 low, high = number * range_bytes, min(size, (number + 1) * range_bytes)
-                raw = _read(path, low, high - low + halo)
+                back = min(low, 4 * overlap)  # bytes of the left halo
+                both = _read(path, low - back, back + high - low + halo)
+                raw = both[back:]
                 text, skipped = _decode(raw, low == 0)
+                left = _decode(both[: back + skipped], low == back)[0][-overlap:] if back else ""
                 to = sum(byte & 0xC0 != 0x80 for byte in raw[skipped : high - low]) if high < size else len(text)
-                first, last = bounds(text, low == 0, to)
-                own = cut(text, first, last, limit, overlap) if last > first else []
+                at, text = len(left), left + text
+                first, last = bounds(text, low == 0, at, at + to)
+                own = cut(text, first, last, limit, overlap, min(overlap, first)) if last > first else []
                 pieces = [(i, a - first, b - first, how, text[a:b]) for i, (a, b, how) in enumerate(own)]
-                rows.append((path, number, low + skipped + len(text[:first].encode("utf-8")), last - first, longest_run(text[first:last]), pieces))
+                rows.append((path, number, low + skipped + len(text[at:first].encode("utf-8")), last - first, longest_run(text[first:last]), pieces))
             yield pd.DataFrame(rows, columns=["path", "range", "start_byte", "chars", "longest", "pieces"])
 
     return split

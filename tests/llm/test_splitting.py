@@ -89,5 +89,20 @@ def test_files_by_byte_ranges(spark, tmp_path):
     assert [r["text"] for r in out if r["path"].endswith("b.txt")] == ["short"]
 
 
+def test_pieces_overlap_across_range_borders(spark, tmp_path):
+    """As within a range: exactly the overlap, also for pieces on both sides of a border."""
+    rng = random.Random(5)
+    text = "".join(rng.choice(["word ", "Satz. ", "文章。", "\n\n", "é" * 9, "😀 "]) for _ in range(9_000))
+    whole = sp.cut(text, 0, len(text), 200, 30)
+    assert {b0 - a1 for (_, b0, _), (a1, _, _) in zip(whole, whole[1:])} == {30}
+    (tmp_path / "a.txt").write_text(text, encoding="utf-8")
+    ranged = sp.split_texts(spark.createDataFrame([("t", 1, text, "c")], ROWS), limit=200, overlap=30, range_chars=2_000)
+    for out in (ranged, sp.split_files(spark, str(tmp_path), limit=200, overlap=30, range_bytes=5_001)):
+        pieces = sorted((r["piece"], r["start"], r["end"], r["text"]) for r in out.collect())
+        assert pieces[0][1] == 0 and pieces[-1][2] == len(text)
+        assert all(text[a:b] == piece and b - a <= 200 for _, a, b, piece in pieces)
+        assert {b0 - a1 for (_, _, b0, _), (_, a1, _, _) in zip(pieces, pieces[1:])} == {30}
+
+
 def test_empty_table(spark):
     assert sp.split_texts(spark.createDataFrame([], ROWS)).count() == 0
