@@ -3,7 +3,8 @@
 A tree automaton reads each document. Its contexts (`GRAMMAR`) say what a node means from where it
 stands, its shapes (`shape_of`) say what the node is made of; context and shape together are the
 node's *variant*. All variants share the supertype columns (page, node, parent, position) in one
-node table; `variant_tables` routes them to typed subtype tables that keep the same keys.
+node table; `variant_tables` routes them to typed subtype tables that keep the same keys. Schemas of
+parameters and all components have nodes too, but only what is under `paths` gives named items.
 
 Defined results: null, blank, cut-off and non-object documents give no nodes. Documents encoded
 twice are read. Repeated input rows give repeated nodes in the node table (`found_items` is
@@ -25,11 +26,17 @@ VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 
 #: context -> {key class: child context}; `*` is any key, `verb` an HTTP verb in any case, `[]` a list's member.
 GRAMMAR = {
-    "document": {"paths": "paths"},
+    "document": {"paths": "paths", "components": "components"},
+    "components": {"schemas": "shared_schemas", "parameters": "shared_parameters", "responses": "shared_responses", "requestBodies": "shared_bodies"},
+    "shared_schemas": {"*": "schema"},
+    "shared_parameters": {"*": "parameter"},
+    "shared_responses": {"*": "response"},
+    "shared_bodies": {"*": "body"},
     "paths": {"*": "path"},
     "path": {"verb": "operation", "parameters": "parameters"},
     "operation": {"parameters": "parameters", "requestBody": "body", "responses": "responses"},
     "parameters": {"[]": "parameter"},
+    "parameter": {"schema": "schema", "content": "content"},
     "responses": {"*": "response"},
     "response": {"content": "content"},
     "body": {"content": "content"},
@@ -39,15 +46,17 @@ GRAMMAR = {
     "properties": {"*": "schema"},
     "members": {"[]": "schema"},
 }
+#: Where components are kept -> the section's key.
+SECTIONS = {inner: key for key, inner in GRAMMAR["components"].items()}
 #: Contexts that only group their children and give no node of their own.
-TRANSPARENT = {"paths", "parameters", "responses", "content", "properties", "members"}
+TRANSPARENT = {"paths", "parameters", "responses", "content", "properties", "members", "components", *SECTIONS}
 #: Contexts whose `$ref` is followed. At a schema a missing or open target is a leaf; elsewhere it gives nothing.
 FOLLOWED = {"path", "parameter", "response", "body", "schema"}
 
 NODE_SCHEMA = (
     "page_id bigint, node_id int, parent_id int, variant string, oas_path string, verb string, "
     "item_kind string, item_name string, depth int, node_type string, node_format string, "
-    "is_required boolean, ref_target string, summary string"
+    "is_required boolean, ref_target string, summary string, media_type string, source_id string"
 )
 
 
@@ -77,6 +86,11 @@ def resolve(pointer: object, document: dict) -> dict | None:
     return node if isinstance(node, dict) else None
 
 
+def pointer(section: str, key: str) -> str:
+    """The local JSON pointer to a component."""
+    return f"#/components/{section}/" + key.replace("~", "~0").replace("/", "~1")
+
+
 def shape_of(node: object) -> str:
     """The shape half of a variant, from the node's type and keys alone."""
     if isinstance(node, dict):
@@ -118,10 +132,11 @@ def text_of(value: object) -> str | None:
 def nodes_of(document: dict) -> Iterator[dict]:
     """All nodes the automaton accepts, parents before children, in document order."""
     count = 0
-    # node, context, parent id, depth, path, verb, names, root of names (status or body), references open here
-    stack: list[tuple] = [(document, "document", None, 0, "", "", (), "", frozenset())]
+    # node, context, parent id, depth, path, verb, names, root of names (status, body, parameter or component),
+    # references open here, media type, whether what is below gives items
+    stack: list[tuple] = [(document, "document", None, 0, "", "", (), "", frozenset(), None, True)]
     while stack:
-        node, context, parent, depth, path, verb, names, root, opened = stack.pop()
+        node, context, parent, depth, path, verb, names, root, opened, media, listed = stack.pop()
         ref = None
         while context in FOLLOWED and isinstance(node, dict) and "$ref" in node and not (context == "schema" and {"properties", "items", "allOf"} & node.keys()):
             ref = node["$ref"]
@@ -147,6 +162,11 @@ def nodes_of(document: dict) -> Iterator[dict]:
                 kind, name = "parameter", f"{node['in']}:{node['name']}"
             elif leaf and names:
                 kind, name = "field", f"{root} {'/'.join(names)}"
+            elif leaf and not listed:
+                name = root
+            kind = kind if listed else None
+            if context == "parameter":
+                root, listed = name or "", False  # its schema gives no items
             mine, count = count, count + 1
             own = node if isinstance(node, dict) else {}
             required = own.get("required")
@@ -156,6 +176,7 @@ def nodes_of(document: dict) -> Iterator[dict]:
                 "node_type": text_of(own.get("type")) or text_of(own.get("in")), "node_format": text_of(own.get("format")),
                 "is_required": required if isinstance(required, bool) else None, "ref_target": text_of(ref),
                 "summary": text_of(own.get("summary")) or text_of(own.get("description")),
+                "media_type": media, "source_id": None,
             }
         below = []
         if isinstance(node, dict):
@@ -163,18 +184,20 @@ def nodes_of(document: dict) -> Iterator[dict]:
                 if (inner := child_context(context, key)) is None:
                     continue
                 if inner == "schema" and context == "schema" and isinstance(child, list):  # tuple-typed arrays
-                    below += [(x, inner, mine, depth + 1, path, verb, step_name(names, context, key), root, opened) for x in child]
+                    below += [(x, inner, mine, depth + 1, path, verb, step_name(names, context, key), root, opened, media, listed) for x in child]
                     continue
                 below.append((
                     child, inner, mine, depth + (inner not in TRANSPARENT),
                     key if context == "paths" else path,
                     key.lower() if inner == "operation" else verb,
                     step_name(names, context, key),
-                    key if inner == "response" else "body" if inner == "body" else root,
-                    opened,
+                    f"{SECTIONS[context]}/{key}" if context in SECTIONS else key if inner == "response" else "body" if inner == "body" else root,
+                    opened | {pointer(SECTIONS[context], key)} if context in SECTIONS else opened,
+                    key if inner == "media" else media,
+                    listed and context not in SECTIONS,
                 ))
         elif isinstance(node, list) and "[]" in GRAMMAR.get(context, {}):
-            below = [(x, GRAMMAR[context]["[]"], mine, depth + 1, path, verb, names, root, opened) for x in node]
+            below = [(x, GRAMMAR[context]["[]"], mine, depth + 1, path, verb, names, root, opened, media, listed) for x in node]
         stack.extend(reversed(below))
 
 
@@ -215,18 +238,22 @@ def category_nodes(df: DataFrame, id_col: str = "page_id", category_col: str = "
         F.lit(None).cast("boolean").alias("is_required"),
         F.lit(None).cast("string").alias("ref_target"),
         F.col(f"{category_col}.title").alias("summary"),
+        F.lit(None).cast("string").alias("media_type"),
+        F.col(f"{category_col}.id").alias("source_id"),
     )
 
 
 #: Subtype tables: name, variants' context, typed columns beside the supertype's.
 SUBTYPES = {
-    "category": {"title": "summary", "slug": "item_name", "category_type": "node_type"},
+    "category": {"title": "summary", "slug": "item_name", "category_type": "node_type", "category_id": "source_id"},
+    "document": {},
     "path": {},
     "operation": {"summary": "summary"},
     "parameter": {"name": "item_name", "location": "node_type", "is_required": "is_required"},
     "body": {"is_required": "is_required"},
     "response": {"status": "item_name", "description": "summary"},
-    "schema": {"field": "item_name", "field_type": "node_type", "field_format": "node_format", "ref_target": "ref_target"},
+    "media": {"media_type": "media_type"},
+    "schema": {"field": "item_name", "field_type": "node_type", "field_format": "node_format", "ref_target": "ref_target", "media_type": "media_type"},
 }
 
 

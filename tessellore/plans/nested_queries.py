@@ -24,7 +24,7 @@ def p3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema subtype table with each field's owning response or body."""
+    """The schema subtype table with each field's owning response, body, parameter or component."""
     return nested.variant_tables(nested.page_nodes(_pages(spark, sf_dir)))["schema"].filter(F.col("field").isNotNull())
 
 

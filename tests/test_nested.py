@@ -82,6 +82,40 @@ def test_shred_handles_dirty_rows(spark):
     assert tables["category"].count() == 4
 
 
+def test_nothing_named_is_lost_and_every_parent_resolves(spark):
+    """Parameter schemas, components nothing refers to, media types and category ids."""
+    document = {
+        "paths": {"/p": {"get": {
+            "parameters": [{"name": "n", "in": "query", "schema": {"type": "integer", "format": "int32"}}, {"name": "f", "in": "query", "content": {"a/json": {"schema": {"properties": {"k": {"type": "number"}}}}}}],
+            "responses": {"200": {"content": {"text/csv": {"schema": {"properties": {"c": {"type": "string"}}}}}}},
+        }}},
+        "components": {
+            "schemas": {"Alone/x": {"properties": {"me": {"$ref": "#/components/schemas/Alone~1x"}, "v": {"type": "boolean"}}}, "Flat": {"type": "string"}},
+            "parameters": {"H": {"name": "h", "in": "header", "schema": {"type": "array", "items": {"type": "string"}}}},
+            "responses": {"R": {"content": {"a/b": {"schema": {"properties": {"why": {"type": "null"}}}}}}},
+            "requestBodies": {"B": {"content": {"a/b": {"schema": {"type": "object"}}}}},
+        },
+    }
+    schema = "page_id bigint, oas string, category struct<title:string,slug:string,type:string,id:string>"
+    nodes = nested.page_nodes(spark.createDataFrame([(1, json.dumps(document), ("t", "s", "guide", "c7"))], schema))
+    tables = {name: table.collect() for name, table in nested.variant_tables(nodes).items()}
+    fields = {(r["field"], r["field_type"], r["media_type"]) for r in tables["schema"] if r["field"]}
+    assert fields == {
+        ("query:n", "integer", None), ("query:f k", "number", "a/json"), ("200 c", "string", "text/csv"),
+        ("schemas/Alone/x me", None, None), ("schemas/Alone/x v", "boolean", None), ("schemas/Flat", "string", None),
+        ("header:h []", "string", None), ("responses/R why", "null", "a/b"), ("requestBodies/B", "object", "a/b"),
+    }
+    assert sorted(r["media_type"] for r in tables["media"]) == ["a/b", "a/b", "a/json", "text/csv"]
+    assert [r["category_id"] for r in tables["category"]] == ["c7"]
+    known = {r["node_id"] for table in tables.values() for r in table}
+    assert len(known) == nodes.count()
+    assert all(r["parent_id"] is None or r["parent_id"] in known for table in tables.values() for r in table)
+    assert {tuple(r)[1:] for r in nested.found_items(nodes).collect()} == {
+        ("operation", "/p", "get", ""), ("parameter", "/p", "get", "query:n"), ("parameter", "/p", "get", "query:f"),
+        ("response", "/p", "get", "200"), ("field", "/p", "get", "200 c"), ("category", "", "", "s"),
+    }
+
+
 def test_empty_table(spark):
     schema = "page_id bigint, oas string, category struct<title:string,slug:string,type:string,id:string>"
     assert nested.found_items(nested.page_nodes(spark.createDataFrame([], schema))).count() == 0
