@@ -7,11 +7,12 @@ the shingle of its earliest arrival. Two signatures agree in a component with th
 Jaccard similarity, which for equal weights is the Jaccard similarity. A process is followed no
 longer than an arrival can still be the earliest of some component.
 
-Texts whose signatures agree in a whole band meet in a bucket. No bucket emits all its pairs: first
+Texts whose signatures agree in a whole band meet in a bucket. For the groups no bucket emits all its pairs: first
 every member is verified against the bucket's smallest id only; the links found make components; then
 only members of one bucket that are still in different components are verified. So all candidates of
 the banding that could join two components are decided exactly, while a bucket of copies of one page
-costs as many comparisons as it has members.
+costs as many comparisons as it has members. Only where the links of each document are to be counted
+are all pairs of a bucket verified, in blocks: that grows with the square of a family's distinct texts.
 
 Exact copies are collapsed by a 128-bit hash before the banding. Links, components and texts stay
 distributed; each round of the component search cuts its lineage with a checkpoint.
@@ -38,6 +39,7 @@ from tessellore.runtime import checkpoint, strip
 WORDS = 5
 LEAST = 0.8
 COMPONENTS = 200
+BLOCK_DOCS = 256
 MISS = 1e-3
 
 WORD = re.compile(r"[^\W_]+")
@@ -209,11 +211,12 @@ def taking_part(df: DataFrame, id_col: str, text_col: str, least_chars: int) ->
     return rows.select("doc", "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
-def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "body_md", words: int = WORDS, least: float = LEAST, least_chars: int = 0, weighted: bool = False, components_count: int = COMPONENTS) -> DataFrame:
+def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "body_md", words: int = WORDS, least: float = LEAST, least_chars: int = 0, weighted: bool = False, components_count: int = COMPONENTS, count_links: bool = True) -> DataFrame:
     """One row per document taking part: page_id, group_id (the group's smallest id), links.
 
     ``links`` counts the verified links of the document's text to other texts; documents without any
-    likeness are groups of their own.
+    likeness are groups of their own. For the count every pair of a bucket is verified. Without
+    ``count_links`` the column is missing and only pairs that may join groups are verified.
     """
     bands, rows = banding(least, components_count)
     texts = taking_part(df, id_col, text_col, least_chars)
@@ -230,6 +233,17 @@ def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "bo
         whole = left.join(bodies.select(F.col("doc").alias("a"), F.col("body").alias("body_a")), "a")
         return checkpoint(whole.select("a", "b", "body_a", "body_b").mapInPandas(_verify(words, least, weighted), "a bigint, b bigint, likeness double"))
 
+    members = checkpoint(texts.select("doc", "h1", "h2"))
+    of_copies = members.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
+
+    def grouped(labels: DataFrame) -> DataFrame:
+        found = members.join(of_copies, ["h1", "h2"]).join(labels.withColumnRenamed("node", "first"), "first", "left")
+        return found.select("first", F.col("doc").alias("page_id"), F.coalesce("label", "first").alias("group_id"))
+
+    if count_links:
+        links = verified(_bucket_pairs(shared))
+        degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
+        return grouped(components(links)).join(degree, "first", "left").select("page_id", "group_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links")).distinct()
     tested = shared.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     links = verified(tested)
     labels = components(links)
@@ -240,18 +254,16 @@ def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "bo
     more = apart.join(other, "bucket").filter("doc < b and label <> label_b").select(F.col("doc").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
     late = verified(more)
     if not late.isEmpty():
-        links = links.unionByName(late)
-        labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
-    members = checkpoint(texts.select("doc", "h1", "h2"))
-    of_copies = members.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-    return (
-        members.join(of_copies, ["h1", "h2"])
-        .join(labels.withColumnRenamed("node", "first"), "first", "left")
-        .join(degree.withColumnRenamed("doc", "first"), "first", "left")
-        .select(F.col("doc").alias("page_id"), F.coalesce("label", "first").alias("group_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
-        .distinct()
-    )
+        labels = components(links.unionByName(late))
+    return grouped(labels).drop("first").distinct()
+
+
+def _bucket_pairs(shared: DataFrame) -> DataFrame:
+    """All distinct pairs a < b of documents with a common bucket; large buckets are spread over several blocks."""
+    sized = shared.withColumn("blocks", F.ceil(F.count("*").over(W.partitionBy("bucket")) / BLOCK_DOCS).cast("int"))
+    left = sized.select("bucket", F.col("doc").alias("a"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    right = sized.select("bucket", F.col("doc").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["bucket", "block"]).filter("a < b").select("a", "b").distinct()
 
 
 def grouped_pairs(groups: DataFrame) -> DataFrame:

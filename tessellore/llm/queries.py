@@ -23,7 +23,7 @@ def _texts(spark: SparkSession, sf_dir: str, header: bool) -> DataFrame:
 def _page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of problem 1: three words, likeness 0.60, at least 200 characters."""
     pages = table(spark, sf_dir, "page_records").select("page_id", "body_md")
-    return duplicates.duplicate_groups(pages, words=3, least=0.6, least_chars=200)
+    return duplicates.duplicate_groups(pages, words=3, least=0.6, least_chars=200, count_links=False)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

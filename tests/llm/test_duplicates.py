@@ -65,6 +65,23 @@ def test_members_of_a_bucket_that_only_match_each_other(spark):
     assert got == brute_groups(rows, 1, 0.75, 0)
 
 
+def test_links_of_a_family_are_all_counted(spark):
+    """Each of twelve edited versions is like all others, not only like the smallest id; copies don't count."""
+    rows = [(i, " ".join(f"v{i}" if j == i else f"w{j}" for j in range(100)), "x", 1) for i in range(12)]
+    rows += [(50, rows[3][1], "x", 1), (51, "quite another text", "x", 1)]
+    got = {r["page_id"]: (r["group_id"], r["links"]) for r in dup.duplicate_groups(spark.createDataFrame(rows, SCHEMA), words=1, least=0.75).collect()}
+    assert got == {**{i: (0, 11) for i in (*range(12), 50)}, 51: (51, 0)}
+
+
+def test_groups_are_the_same_without_links(spark):
+    base = [f"a{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: 40 + 3 * i], *(f"z{i}x{j}" for j in range(60 - 3 * i))]), "x", 1) for i in range(16)]
+    rows += [(100 + i, *r) for i, *r in corpus(2, 60)]
+    found = dup.duplicate_groups(spark.createDataFrame(rows, SCHEMA), words=1, least=0.75, components_count=400, count_links=False)
+    assert found.columns == ["page_id", "group_id"]
+    assert {r["page_id"]: r["group_id"] for r in found.collect()} == brute_groups(rows, 1, 0.75, 0)
+
+
 def test_pairs_of_groups(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (5, 1), (7, 7)], "page_id bigint, group_id bigint")
     assert sorted(tuple(r) for r in dup.grouped_pairs(groups).collect()) == [(1, 2), (1, 5), (2, 5)]
