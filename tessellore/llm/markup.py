@@ -62,6 +62,7 @@ MAGIC_WORD = re.compile(rf"__(?:{'|'.join(MAGIC)})__", re.I)
 SIGNATURE = re.compile(r"(?<!~)~{3,5}(?!~)")
 
 COMMAND = re.compile(r"(?<![\\\w:])\\[A-Za-z]{2,}\*?(?!\w*\\\w)")
+WRAPPED = re.compile(r"~?(?<![\\\w:])\\[A-Za-z]{2,}\*?(?!\w*\\\w)(?:\[[^\[\]\n]*\])?\{([^{}]*)\}")
 ENVIRONMENT = re.compile(r"(?<!\\)\\(?:begin|end)\s*\{[A-Za-z]+\*?\}", re.I)
 DISPLAY = re.compile(r"(?<![\\$])\$\$(?!\$)((?:[^$\n]|\n(?!\s*\n))+?)\$\$(?!\$)|(?<!\\)\\\[((?:[^\n]|\n(?!\s*\n))+?)\\\]")
 INLINE = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]*?[^\s$\\])\$(?![\w$])|(?<!\\)\\\(((?:[^\n])+?)\\\)")
@@ -178,12 +179,12 @@ class Kept:
         self.parts.append(text)
         return f"\x02{len(self.parts) - 1}\x03"
 
-    def back(self, text: str) -> str:
-        for _ in range(3):  # kept things may hold kept things
-            if "\x02" not in text:
-                break
-            text = re.sub("\x02(\\d+)\x03", lambda m: self.parts[int(m[1])], text)
-        return text
+    def back(self, text: str, before: int | None = None) -> str:
+        """Kept things may hold kept things, all put aside before them."""
+        if "\x02" not in text:
+            return text
+        most = len(self.parts) if before is None else before
+        return re.sub("\x02(\\d+)\x03", lambda m: self.back(self.parts[int(m[1])], int(m[1])) if int(m[1]) < most else m[0], text)
 
 
 def _row(cells: list[str]) -> str:
@@ -282,7 +283,8 @@ def _environment(kept: Kept):
 
 
 def _template(m: re.Match) -> str:
-    name, *arguments = [x.strip() for x in m[1].split("|")]
+    inner = TEMPLATE.sub(_template, m[1])
+    name, *arguments = [x.strip() for x in inner.split("|")]
     if name.startswith("#"):
         return arguments[0] if arguments else ""
     named = [re.match(r"([\w ]+?)\s*=\s*(.*)", a, re.S) for a in arguments]
@@ -311,6 +313,14 @@ def _html_table(m: re.Match) -> str:
     return _grid(rows)
 
 
+def repeated(pattern: re.Pattern, replacement, text: str) -> str:
+    """Text with the pattern replaced until there is none; every pass must remove a level of nesting."""
+    n = 1
+    while n:
+        text, n = pattern.subn(replacement, text)
+    return text
+
+
 def convert(text: str, kept: Kept) -> str:
     """Text outside fenced code with all constructs converted; kept parts stay put aside."""
     if "`" in text:
@@ -324,17 +334,11 @@ def convert(text: str, kept: Kept) -> str:
         text = DISPLAY.sub(lambda m: kept.put("$$" + (m[1] if m[1] is not None else m[2]).strip() + "$$") if is_formula(m) else m[0], text)
         text = INLINE.sub(lambda m: kept.put("$" + (m[1] if m[1] is not None else m[2]).strip() + "$") if is_formula(m) else m[0], text)
     if "\\" in text:
-        for _ in range(4):
-            text, n = ENV.subn(_environment(kept), text)
-            if not n:
-                break
+        text = repeated(ENV, _environment(kept), text)
         text = SECTION.sub(lambda m: "\n\n" + "#" * (2 + len(m[1]) // 3) + " " + m[2].strip() + "\n\n", text)
         text = re.sub(r"\\footnote\s*\{([^{}]*)\}", r" (\1)", text)
         text = re.sub(r"~?\\(?:ref|cite|label|eqref|pageref)\s*\{([^{}]*)\}", lambda m: "" if "label" in m[0][:6] else f" [{m[1]}]", text)
-        for _ in range(3):
-            text, n = re.subn(r"~?(?<![\\\w:])\\[A-Za-z]{2,}\*?(?!\w*\\\w)(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-            if not n:
-                break
+        text = repeated(WRAPPED, r"\1", text)
         text = ENVIRONMENT.sub("", text)
         text = COMMAND.sub("", text)
     if "<" in text:
@@ -348,10 +352,7 @@ def convert(text: str, kept: Kept) -> str:
         text = ENTITY.sub(lambda m: html.unescape(m[0]) if is_entity(m) else m[0], text)
     if "{" in text:
         text = WIKI_GRID.sub(_wiki_grid, text)
-        for _ in range(3):
-            text, n = TEMPLATE.subn(_template, text)
-            if not n:
-                break
+        text = repeated(TEMPLATE, _template, text)
     if "[" in text:
         text = LINK.sub(lambda m: "" if re.match(r"(?i)category:", m[1]) else m[1].rpartition("|")[2] if "|" in m[1] else re.sub(r"^(?:File|Image):.*", "", m[1]), text)
         text = EXTERNAL.sub(r"\2", text)

@@ -95,3 +95,17 @@ def test_dirty_rows(spark):
     assert got[None]["families"] == [] and got[None]["codes"] == 1
     assert sorted(tuple(r) for r in mk.found_families(out).filter("row_id = 4").collect()) == [("t", 4, "html")] * 2 + [("t", 4, "wiki")] * 2
     assert mk.clean_texts(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_leaves_nothing_behind():
+    template = command = environment = "x"
+    kept, part = mk.Kept(), "x"
+    for name in ("center", "quote", "flushleft", "minipage", "small", "large", "sloppypar", "figure"):
+        template = "{{N|" + template + "}}"
+        command = "\\textbf{" + command + "}"
+        environment = f"\\begin{{{name}}}[h]\n\\begin{{{name}x}}\n{environment}\n\\end{{{name}x}}\n\\end{{{name}}}"
+        part = kept.put(f"({part})")
+    assert clean(f"Some words before {template} and words after it.") == "Some words before x and words after it."
+    assert clean(f"Some words before {command} and words after it.") == "Some words before x and words after it."
+    assert "{" not in mk.convert(environment, mk.Kept()) and "\\" not in mk.convert(environment, mk.Kept())
+    assert kept.back(part) == "(" * 8 + "x" + ")" * 8
