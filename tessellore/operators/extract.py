@@ -57,6 +57,11 @@ def extract_records(fetched: DataFrame) -> DataFrame:
     def pick(key: str) -> Column:
         return F.when(F.col("shape") == "changelog", F.get_json_object(log, f"$.{key}")).when(F.col("shape") == "doc", at(p, f"doc.{key}")).otherwise(at(p, f"custompage.{key}"))
 
+    def held(key: str) -> Column:
+        """What a doc page has beside its body, as JSON text; null where it is empty."""
+        value = at(p, f"doc.{key}")
+        return F.when((F.col("shape") == "doc") & ~value.isin("", "{}", "[]", "false"), value)
+
     reference = (F.col("kind") == "reference") & (F.col("shape") == "doc")
     body = F.coalesce(pick("body"), F.lit(""))
     clean = T.rewrite_body(body, F.col("base_url"), F.col("section"))
@@ -80,6 +85,8 @@ def extract_records(fetched: DataFrame) -> DataFrame:
         F.when(reference, oas_summary(at(p, "oasDefinition"))).alias("oas"),
         F.when(reference, at(p, "oasPublicUrl")).alias("oas_public_url"),
         at(p, "doc.api").alias("doc_api"),
+        held("reusableContent").alias("reusable_content"),
+        held("tutorials").alias("doc_tutorials"),
         F.when(F.col("shape") == "custompage", F.length(F.coalesce(at(p, "custompage.html"), F.lit("")))).alias("html_chars"),
         F.when(F.col("shape") == "custompage", flag(p, "custompage.fullscreen", F.lit(False))).alias("fullscreen"),
     )

@@ -213,6 +213,21 @@ def test_extraction(spark):
     assert (got["c"]["kind"], got["c"]["type"], got["c"]["html_chars"], got["c"]["fullscreen"]) == ("custompage", "custompage", 3, True)
 
 
+def test_extraction_keeps_what_pages_hold_beside_the_body(spark):
+    page = lambda props: f'<script id="ssr-props" type="application/json">{json.dumps(props)}</script>'
+    rows = [
+        ("a", page({"doc": {"body": "x", "reusableContent": [{"tag": "T", "body": "again"}], "tutorials": [{"slug": "how"}]}})),
+        ("b", page({"doc": {"body": "x", "reusableContent": {}, "tutorials": []}})),
+        ("c", page({"doc": {"body": "x"}})),
+    ]
+    fixed = {"kind": "guide", "source": "src", "section": "s", "base_url": "https://h", "url": "u", "title": "t", "parent_slug": ""}
+    df = spark.createDataFrame(rows, "slug string, html string").withColumns({k: F.lit(v) for k, v in fixed.items()})
+    df = df.withColumn("breadcrumb", F.array(F.lit("B"))).withColumn("hidden", F.lit(False)).withColumn("deprecated", F.lit(False))
+    got = {r["slug"]: (r["reusable_content"], r["doc_tutorials"]) for r in extract.extract_records(df).collect()}
+    assert [json.loads(x) for x in got["a"]] == [[{"tag": "T", "body": "again"}], [{"slug": "how"}]]
+    assert got["b"] == got["c"] == (None, None)
+
+
 def test_embedding_is_incremental(spark):
     texts = spark.createDataFrame([("a b",), ("c",), ("a b",), (None,), ("",)], "page_content string")
     first = embedding.embed(texts, embedding.hashing_encoder(16), "m").cache()
