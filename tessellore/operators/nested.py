@@ -14,13 +14,14 @@ distinct). Extra columns of the input are ignored, so their names cannot clash.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellore.runtime import is_blank
+from tessellore.runtime import is_blank, stored
 
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 
@@ -60,30 +61,109 @@ NODE_SCHEMA = (
 )
 
 
+SPACE = re.compile(r"[ \t\n\r]*")
+ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
+def parse_deep(text: str) -> object:
+    """JSON of any depth, read with an explicit stack; ValueError where it does not parse."""
+    skip = lambda i: SPACE.match(text, i).end()
+    top: list = []
+    stack: list[tuple[list | dict, str | None]] = [(top, None)]  # containers that are open, and the key to be filled
+    at, value_next = skip(0), True
+    while True:
+        home, key = stack[-1]
+        mark = text[at : at + 1]
+        if value_next:
+            if mark in ("{", "["):
+                made: list | dict = {} if mark == "{" else []
+                at = skip(at + 1)
+                closed = text[at : at + 1] == ("}" if mark == "{" else "]")
+                if not closed:
+                    stack.append((made, None))
+            elif mark == '"':
+                made, at = json.decoder.scanstring(text, at + 1)
+                closed = None
+            elif m := ATOM.match(text, at):
+                made, at, closed = json.loads(m[0]), m.end(), None
+            else:
+                raise ValueError(f"no value at {at}")
+            if isinstance(home, dict):
+                home[key] = made
+            else:
+                home.append(made)
+            if closed is False:
+                value_next = isinstance(made, list)
+                if not value_next:
+                    at = _key(text, at, stack, skip)
+                    value_next = True
+                continue
+            at, value_next = skip(at + (closed is True)), False
+        elif len(stack) == 1:
+            if at < len(text):
+                raise ValueError(f"more text at {at}")
+            return top[0]
+        elif mark == ",":
+            at, value_next = skip(at + 1), True
+            if isinstance(home, dict):
+                at = _key(text, at, stack, skip)
+        elif mark == ("}" if isinstance(home, dict) else "]"):
+            stack.pop()
+            at = skip(at + 1)
+        else:
+            raise ValueError(f"no end of a value at {at}")
+
+
+def _key(text: str, at: int, stack: list, skip) -> int:
+    """Read a key and its colon at ``at``; the key is put on top of the stack."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = json.decoder.scanstring(text, at + 1)
+    at = skip(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    stack[-1] = (stack[-1][0], key)
+    return skip(at + 1)
+
+
+def parsed(text: str) -> object:
+    """JSON as Python values, at any depth."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return parse_deep(text)
+
+
 def decode(text: str | None) -> dict | None:
     """The document as an object, also where it was encoded twice; None where it does not parse."""
     if text is None or not text.strip():
         return None
     try:
-        found = json.loads(text)
+        found = parsed(text)
         if isinstance(found, str):
-            found = json.loads(found)
-    except (ValueError, RecursionError):
+            found = parsed(found)
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 
 
-def resolve(pointer: object, document: dict) -> dict | None:
-    """The object a local JSON pointer leads to, or None."""
-    if not isinstance(pointer, str) or not pointer.startswith("#/"):
-        return None
-    node: object = document
-    for step in pointer[2:].split("/"):
-        step = step.replace("~1", "/").replace("~0", "~")
-        if not isinstance(node, dict) or step not in node:
-            return None
-        node = node[step]
-    return node if isinstance(node, dict) else None
+ESCAPE = re.compile("~[01]")
+
+
+class Pointers(dict):
+    """The objects that a document's local JSON pointers lead to (None where to nothing); each is looked up once."""
+
+    def __init__(self, document: dict):
+        super().__init__()
+        self.document = document
+
+    def __missing__(self, pointer: object) -> dict | None:
+        root, *steps = pointer.split("/") if isinstance(pointer, str) else ("",)
+        found: object = self.document if root == "#" and steps else None
+        for step in steps:
+            found = found.get(ESCAPE.sub(lambda m: "~/"[int(m[0][1])], step)) if isinstance(found, dict) else None
+        self[pointer] = found if isinstance(found, dict) else None
+        return self[pointer]
 
 
 def pointer(section: str, key: str) -> str:
@@ -131,7 +211,7 @@ def text_of(value: object) -> str | None:
 
 def nodes_of(document: dict) -> Iterator[dict]:
     """All nodes the automaton accepts, parents before children, in document order."""
-    count = 0
+    count, pointers = 0, Pointers(document)
     # node, context, parent id, depth, path, verb, names, root of names (status, body, parameter or component),
     # references open here, media type, whether what is below gives items
     stack: list[tuple] = [(document, "document", None, 0, "", "", (), "", frozenset(), None, True)]
@@ -140,7 +220,7 @@ def nodes_of(document: dict) -> Iterator[dict]:
         ref = None
         while context in FOLLOWED and isinstance(node, dict) and "$ref" in node and not (context == "schema" and {"properties", "items", "allOf"} & node.keys()):
             ref = node["$ref"]
-            target = None if ref in opened else resolve(ref, document)
+            target = None if not isinstance(ref, str) or ref in opened else pointers[ref]
             if target is None:
                 node = {"$ref": ref} if context in ("schema", "response") else None
                 break
@@ -243,34 +323,69 @@ def category_nodes(df: DataFrame, id_col: str = "page_id", category_col: str = "
     )
 
 
-#: Subtype tables: name, variants' context, typed columns beside the supertype's.
+#: Subtype tables: name -> (the variants' context, their shapes or None for all others, typed columns beside the supertype's).
 SUBTYPES = {
-    "category": {"title": "summary", "slug": "item_name", "category_type": "node_type", "category_id": "source_id"},
-    "document": {},
-    "path": {},
-    "operation": {"summary": "summary"},
-    "parameter": {"name": "item_name", "location": "node_type", "is_required": "is_required"},
-    "body": {"is_required": "is_required"},
-    "response": {"status": "item_name", "description": "summary"},
-    "media": {"media_type": "media_type"},
-    "schema": {"field": "item_name", "field_type": "node_type", "field_format": "node_format", "ref_target": "ref_target", "media_type": "media_type"},
+    "category": ("category", None, {"title": "summary", "slug": "item_name", "category_type": "node_type", "category_id": "source_id"}),
+    "document": ("document", None, {}),
+    "path": ("path", None, {}),
+    "operation": ("operation", None, {"summary": "summary"}),
+    "parameter": ("parameter", None, {"name": "item_name", "location": "node_type", "is_required": "is_required"}),
+    "body": ("body", None, {"is_required": "is_required"}),
+    "response": ("response", None, {"status": "item_name", "description": "summary"}),
+    "media": ("media", None, {"media_type": "media_type"}),
+    "object_schema": ("schema", ("object",), {"description": "summary", "ref_target": "ref_target", "media_type": "media_type"}),
+    "array_schema": ("schema", ("array",), {"description": "summary", "ref_target": "ref_target", "media_type": "media_type"}),
+    "composed_schema": ("schema", ("all_of",), {"description": "summary", "ref_target": "ref_target", "media_type": "media_type"}),
+    "leaf_schema": ("schema", ("leaf",), {"field": "item_name", "field_type": "node_type", "field_format": "node_format", "ref_target": "ref_target", "media_type": "media_type"}),
 }
+#: The supertype's columns, which every table has.
+KEYS = ["page_id", "node_id", "parent_id", "variant", "oas_path", "verb", "item_kind", "depth"]
 
 
 def variant_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """The typed subtype tables of a node table; each keeps the supertype keys and the parent link."""
-    keys = ["page_id", "node_id", "parent_id", "variant", "oas_path", "verb"]
-    return {
-        name: nodes.filter(F.col("variant").startswith(f"{name}:")).select(*keys, *(F.col(a).alias(b) for b, a in columns.items()))
-        for name, columns in SUBTYPES.items()
-    }
+    """The typed subtype tables of a node table; each keeps the supertype's columns and the parent link.
+
+    Every context that gives nodes, and every shape of a schema, has a table, so each parent is in one.
+    ``nodes`` is best stored by `routed` before.
+    """
+    return {name: nodes.filter(F.col("subtype") == name).select(*KEYS, *(F.col(a).alias(b) for b, a in columns.items())) for name, (_, _, columns) in SUBTYPES.items()}
+
+
+def routed(nodes: DataFrame) -> DataFrame:
+    """The node table stored in a folder per subtype, so that reading a subtype's table touches its rows only."""
+    return stored(nodes, "nodes", "subtype")
+
+
+#: The tables with named items, and the column of their name; operations have none.
+NAMED = {"category": "slug", "operation": None, "parameter": "name", "response": "status", "leaf_schema": "field"}
+
+
+def found_items(tables: dict[str, DataFrame]) -> DataFrame:
+    """The distinct named items of the subtype tables."""
+    out = None
+    for name, column in NAMED.items():
+        title = F.lit("") if column is None else F.col(column)
+        some = tables[name].filter(F.col("item_kind").isNotNull()).select("page_id", "item_kind", "oas_path", "verb", title.alias("item_name"))
+        out = some if out is None else out.unionByName(some)
+    return out.distinct()
 
 
-def found_items(nodes: DataFrame) -> DataFrame:
-    """The distinct named items of a node table."""
-    return nodes.filter(F.col("item_kind").isNotNull()).select("page_id", "item_kind", "oas_path", "verb", "item_name").distinct()
+def orphans(tables: dict[str, DataFrame]) -> DataFrame:
+    """The nodes of the subtype tables whose parent is in none of them: there are none."""
+    every = None
+    for name, t in tables.items():
+        some = t.select("page_id", "node_id", "parent_id", F.lit(name).alias("subtype"))
+        every = some if every is None else every.unionByName(some)
+    parents = every.select("page_id", F.col("node_id").alias("parent_id")).distinct()
+    return every.filter(F.col("parent_id").isNotNull()).join(parents, ["page_id", "parent_id"], "left_anti")
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """The node table of page records: their API documents and their categories."""
-    return shred(pages).unionByName(category_nodes(pages))
+    """The node table of page records: their API documents and their categories, each node with its subtype."""
+    nodes = shred(pages).unionByName(category_nodes(pages))
+    context, shape = F.substring_index("variant", ":", 1), F.substring_index("variant", ":", -1)
+    subtype = F.lit(None).cast("string")
+    for name, (where, shapes, _) in reversed(SUBTYPES.items()):
+        mine = context == where if shapes is None else (context == where) & shape.isin(*shapes)
+        subtype = F.when(mine, name).otherwise(subtype)
+    return nodes.withColumn("subtype", subtype)

@@ -33,10 +33,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the shared checkpoint folder and read back: columns can be pruned then."""
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read back: columns, and partitions, can be pruned then."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellore.operators import answering, embedding, endpoints, extract, links, trees
+from tessellore.operators.nested import Pointers
 
 OAS = {
     "paths": {
@@ -107,21 +108,29 @@ def test_rendered_document():
 
 def test_four_hops():
     chain = {"components": {"schemas": {f"S{i}": {"$ref": f"#/components/schemas/S{i + 1}"} for i in range(6)}}}
-    assert endpoints.Renderer(chain).whole({"$ref": "#/components/schemas/S0"}) == {"$ref": "#/components/schemas/S4"}
+    assert endpoints.expanded({"$ref": "#/components/schemas/S0"}, Pointers(chain)) == {"$ref": "#/components/schemas/S4"}
 
 
 def test_large_schemas_and_examples():
     fields = {f"field{i:03d}": {"type": "string", "description": "d" * 40} for i in range(120)}
-    lines = endpoints.Renderer({}).schema({"type": "array", "items": {"properties": fields, "required": ["field001"]}})
+    lines = endpoints.schema_lines({"type": "array", "items": {"properties": fields, "required": ["field001"]}})
     assert lines[0] == "_Array of:_" and lines[1] == endpoints.FIELD_HEAD[0] and "| yes |" in lines[4]
     assert sum(len(x) + 1 for x in lines[1:-1]) <= 3500 and lines[-1] == f"_({120 - (len(lines) - 4)} more field(s) omitted; see full schema in OAS)_"
     assert endpoints.shortened("x" * 5000).endswith("\n... (truncated, 1,002 more chars)")
-    assert endpoints.Renderer({}).schema({"type": "object", "description": "x" * 4000}) == [f"_object_ — {'x' * 4000}"]
+    assert endpoints.schema_lines({"type": "object", "description": "x" * 4000}) == [f"_object_ — {'x' * 4000}"]
 
 
 def test_code_samples():
     api = {"examples": {"codes": [{"language": "CURL", "code": "curl x y"}, {"code": "{}"}, {"language": "js", "code": "f(1);", "name": "JS"}]}, "results": {"codes": [{"status": 200, "language": "json", "code": '{"a": 1}'}, {"code": "null "}]}}
-    assert endpoints.code_samples(api) == ["### Code samples (rendered by ReadMe)", "", "#### curl", "```curl", "curl x y", "```", "", "#### JS", "```js", "f(1);", "```", "", "#### Response 200 — json", "```json", '{"a": 1}', "```", ""]
+    assert endpoints.written(endpoints.sample_parts(api)) == ["#### curl", "```curl", "curl x y", "```", "", "#### JS", "```js", "f(1);", "```", "", "#### Response 200 — json", "```json", '{"a": 1}', "```", ""]
+
+
+def test_deep_documents_are_rendered():
+    value = "x"
+    for _ in range(20_000):
+        value = [value]
+    text = "[" * 20_000 + '"x"' + "]" * 20_000
+    assert endpoints.pretty(value) == text and endpoints.shortened(value).startswith("[[[[")
 
 
 def test_record_text(spark):
@@ -164,8 +173,14 @@ def test_collections(spark):
     rows = trees.api_entries(spark.createDataFrame([(json.dumps(tree),), ("{}",)], "collection string")).orderBy("position").collect()
     assert [r["bm25_text"] for r in rows] == ["F > G\ndeep\nPOST h.com/v1/:id/x\nMakes it\nHeaders: X-A\nQuery: q\nPath vars: id, id\nBody fields: b, a", "top\nGET /plain\nBody fields: f, "]
     assert rows[0]["folder_path"] == ["F", "G"] and rows[1]["tokens"] == ["top", "get", "plain", "body", "fields", "f"]
-    assert trees.body_keys({"mode": "raw", "raw": "{bad"}) == trees.body_keys({"mode": "raw", "raw": "text"}) == trees.body_keys(None) == []
-    assert trees.rendered_url({"raw": "r", "host": ["h"]}) == "r" and trees.rendered_url(None) == ""
+    bodies = [json.dumps({"mode": "raw", "raw": "{bad"}), json.dumps({"mode": "raw", "raw": "text"}), None]
+    bare = spark.createDataFrame([(b,) for b in bodies], "body string").select(trees.body_keys(F.col("body")))
+    assert [r[0] for r in bare.collect()] == [[], [], []]
+    urls = [{"raw": "r", "host": ["h"]}, None, "{{base}}/x", {"host": "h.org", "path": "a/b"}, 7]
+    tree = {"item": [{"request": {"url": u}} for u in urls]}
+    rows = trees.api_entries(spark.createDataFrame([(json.dumps(tree),), ("{",)], "collection string")).orderBy("position").collect()
+    assert [r["url"] for r in rows] == ["r", "", "{{base}}/x", "h.org/a/b", "7"]
+    assert trees.unreadable(spark.createDataFrame([("{",), ("{}",), (None,)], "x string"), "x").first()[0] == 1
 
 
 def test_internal_links(spark):

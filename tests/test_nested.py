@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tessellore.operators import nested
 
 DOCUMENT = {
@@ -63,6 +65,22 @@ def test_decoding():
     assert [nested.decode(x) for x in (None, "", " ", "{", "null", "[1]", "3", '"x"', "[" * 100_000)] == [None] * 9
 
 
+def test_documents_of_any_depth():
+    deep = "{\"a\": " * 30_000 + "[1, {\"b\": \"\\u00e9,]\"}, [], {}, -2.5e3, true, null]" + "}" * 30_000
+    found, levels = nested.decode(deep), 0
+    while isinstance(found, dict):
+        found, levels = found["a"], levels + 1
+    assert levels == 30_000 and found == [1, {"b": "é,]"}, [], {}, -2500.0, True, None]
+    for text in ('{"a": [1, {"b": {}}, [[]], "x"], "c": {"d": [true, false]}}', "[]", " 3 ", '"a\\nb"', '{"a":{},"b":[{}]}'):
+        assert nested.parse_deep(text) == json.loads(text)
+    for text in ("", "{", "[1,]", '{"a"}', '{"a":}', "{1:2}", "[1 2]", "nul", '["a]', "{} x", '{"a":1,}', "]"):
+        with pytest.raises(ValueError):
+            nested.parse_deep(text)
+    schema = "".join('{"properties": {"p": ' for _ in range(5_000)) + '{"type": "string"}' + "}}" * 5_000
+    one = nested.decode('{"paths": {"/a": {"get": {"responses": {"200": {"content": {"a/b": {"schema": ' + schema + "}}}}}}}}")
+    assert [x["item_name"] for x in nested.nodes_of(one) if x["item_kind"] == "field"] == ["200 " + "/".join("p" * 5_000)]
+
+
 def test_shred_handles_dirty_rows(spark):
     schema = "page_id bigint, oas string, category struct<title:string,slug:string,type:string,id:string>, node_id string, variant int"
     rows = [
@@ -74,7 +92,7 @@ def test_shred_handles_dirty_rows(spark):
         (None, json.dumps(DOCUMENT), ("t", "s", "guide", "i"), "x", 3),
     ]
     nodes = nested.page_nodes(spark.createDataFrame(rows, schema))
-    found = {tuple(r) for r in nested.found_items(nodes).collect()}
+    found = {tuple(r) for r in nested.found_items(nested.variant_tables(nodes)).collect()}
     expected = {(p, k, path, v, n) for p in (1, 4) for k, path, v, n in EXPECTED} | {(1, "category", "", "", "s")}
     assert found == expected
     tables = nested.variant_tables(nodes)
@@ -99,7 +117,7 @@ def test_nothing_named_is_lost_and_every_parent_resolves(spark):
     schema = "page_id bigint, oas string, category struct<title:string,slug:string,type:string,id:string>"
     nodes = nested.page_nodes(spark.createDataFrame([(1, json.dumps(document), ("t", "s", "guide", "c7"))], schema))
     tables = {name: table.collect() for name, table in nested.variant_tables(nodes).items()}
-    fields = {(r["field"], r["field_type"], r["media_type"]) for r in tables["schema"] if r["field"]}
+    fields = {(r["field"], r["field_type"], r["media_type"]) for r in tables["leaf_schema"] if r["field"]}
     assert fields == {
         ("query:n", "integer", None), ("query:f k", "number", "a/json"), ("200 c", "string", "text/csv"),
         ("schemas/Alone/x me", None, None), ("schemas/Alone/x v", "boolean", None), ("schemas/Flat", "string", None),
@@ -107,10 +125,11 @@ def test_nothing_named_is_lost_and_every_parent_resolves(spark):
     }
     assert sorted(r["media_type"] for r in tables["media"]) == ["a/b", "a/b", "a/json", "text/csv"]
     assert [r["category_id"] for r in tables["category"]] == ["c7"]
+    assert nested.orphans(nested.variant_tables(nested.routed(nodes))).count() == 0
     known = {r["node_id"] for table in tables.values() for r in table}
     assert len(known) == nodes.count()
     assert all(r["parent_id"] is None or r["parent_id"] in known for table in tables.values() for r in table)
-    assert {tuple(r)[1:] for r in nested.found_items(nodes).collect()} == {
+    assert {tuple(r)[1:] for r in nested.found_items(nested.variant_tables(nodes)).collect()} == {
         ("operation", "/p", "get", ""), ("parameter", "/p", "get", "query:n"), ("parameter", "/p", "get", "query:f"),
         ("response", "/p", "get", "200"), ("field", "/p", "get", "200 c"), ("category", "", "", "s"),
     }
@@ -118,4 +137,4 @@ def test_nothing_named_is_lost_and_every_parent_resolves(spark):
 
 def test_empty_table(spark):
     schema = "page_id bigint, oas string, category struct<title:string,slug:string,type:string,id:string>"
-    assert nested.found_items(nested.page_nodes(spark.createDataFrame([], schema))).count() == 0
+    assert nested.found_items(nested.variant_tables(nested.page_nodes(spark.createDataFrame([], schema)))).count() == 0
