@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellore.llm import duplicates, markup, mixing, neighbours, packing, sentences, splitting, survivors
-from tessellore.runtime import table
+from tessellore.runtime import ensure_checkpoint_dir, table
 
 
 #: The header a chunk's text may begin with.
@@ -57,6 +59,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.cut_kinds(p4_pieces(spark, sf_dir))
 
 
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the page bodies written as large text files, a blank line between two bodies, read by byte ranges of 1 MiB."""
+    bodies = table(spark, sf_dir, "page_records").filter("body_md IS NOT NULL").select("body_md")
+    path = f"{ensure_checkpoint_dir(spark)}/bodies-{uuid.uuid4().hex}"
+    bodies.write.option("lineSep", "\n\n").text(path)
+    pieces = splitting.split_files(spark, path, range_bytes=1 << 20)
+    return pieces.withColumn("file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int")).drop("path")
+
+
 def _survivor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = survivors.page_members(table(spark, sf_dir, "page_records"), _page_groups(spark, sf_dir))
     return survivors.choose_bundles(members, survivors.page_bundles())
@@ -137,6 +148,7 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_files": p4_files,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,

@@ -1,18 +1,21 @@
 """Splitting oversized texts into overlapping pieces at natural boundaries.
 
-A giant text is worked on in ranges. Each range comes with a halo on its right that is longer than
-a piece, so the worker of a range finds its own first boundary and that of the next range by
-itself: the boundary tables of neighbours agree without talking to each other. What a range
-returns, its length, number of pieces and longest unbroken run, is stitched by prefix sums to
-offsets and piece numbers of the whole text. A halo of ``overlap`` characters on the left lets the
-first piece of an inner range overlap the last piece of the range before. Texts of a column are cut this way by character
-ranges, files by byte ranges, of which no worker ever loads more than its own and the halos.
+Every text is worked on in ranges of a fixed grid; one that is no longer than a range is a single one.
+Each range comes with a halo on its right that is longer than a piece, so the worker of a range finds
+its own first boundary and that of the next range by itself: the boundary tables of neighbours agree
+without talking to each other. What a range leaves is stored; its length, number of pieces and longest
+unbroken run are stitched by prefix sums to offsets and piece numbers of the whole text, and joined to
+the range's pieces. So no worker sees more than a range and its halos, and all that meets in one place
+are a few figures per range. A halo of ``overlap`` characters on the left lets the first piece of an
+inner range overlap the last piece of the range before, and tells whether a run began before. Texts of a
+column are cut this way by character ranges, files by byte ranges.
 
 Pieces are slices [start, end) of the text. Each ends at the strongest boundary in its last part
 (blank line, line end, sentence end, then white space); its successor starts exactly ``overlap``
 characters before that end. The overlap is shortened only where else a run without white space that
 fits into a piece would be broken. A run longer than a piece is cut behind a separator if there is
-one in the last fifth, else at the limit. Dropping the overlaps gives back the text.
+one in the last fifth, else at the limit. Dropping the overlaps gives back the text. The last piece of a
+range ends where the next range begins, so the grid is part of the definition of the pieces.
 
 Defined results: null and empty texts and those within the threshold give no pieces; a null id is
 kept; repeated rows give repeated pieces; only the named columns are read, so others cannot clash.
@@ -29,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessellore.runtime import stored
+
 THRESHOLD = 2_000
 LIMIT = 1_500
 OVERLAP = 200
-RANGE = 1 << 20
-HALO = 8 * LIMIT
+RANGE = 8_192
+HALO = 2 * LIMIT
 
 SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？｡]+[」』”’）]*\s*|[؟۔।]\s*")
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
@@ -99,104 +104,96 @@ def cut(text: str, first: int, last: int, limit: int = LIMIT, overlap: int = OVE
         done, start = end, max(end - overlap, first - lead, start + 1)
 
 
-def longest_run(text: str) -> int:
-    """The length of the longest run without white space."""
-    return max(map(len, text.split()), default=0)
+def longest_run(text: str, first: int = 0, last: int | None = None) -> int:
+    """The length of the longest run without white space that begins in text[first:last], followed beyond ``last``."""
+    last = len(text) if last is None else last
+    if 0 < first < last and not text[first - 1].isspace():  # the run here began before
+        end = BROKEN.search(text, first, last)
+        first = end.end() if end else last
+    if first >= last:
+        return 0
+    end = BROKEN.search(text, last)
+    own = text[first:last] if text[last - 1].isspace() else text[first : end.start() if end else len(text)]
+    return max(map(len, own.split()), default=0)
 
 
-def range_start(text: str, at: int) -> int:
+def range_start(text: str, at: int, halo: int = HALO) -> int:
     """Where an inner range that begins at ``at`` starts: its first natural boundary within the halo."""
-    high = min(len(text), at + HALO)
+    high = min(len(text), at + halo)
     for pattern in (BLANK_LINE, SENTENCE, BROKEN):
         if (found := pattern.search(text, at, high)) and found.end() < high:
             return found.end()
     return min(at, len(text))
 
 
-def bounds(text: str, is_first: bool, at: int, to: int) -> tuple[int, int]:
+def bounds(text: str, is_first: bool, at: int, to: int, halo: int = HALO) -> tuple[int, int]:
     """The stretch of a range's text (with its halos) that is the range's own; it begins at ``at``, the next one at ``to``."""
-    first = 0 if is_first else range_start(text, at)
-    last = range_start(text, to) if to < len(text) else len(text)
+    first = 0 if is_first else range_start(text, at, halo)
+    last = range_start(text, to, halo) if to < len(text) else len(text)
     return first, max(first, last)
 
 
-def _small(limit: int, overlap: int):
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tables, ids, kinds, pieces = [], [], [], []
-            for table, row, text in zip(batch["tbl"], batch["row_id"], batch["body"]):
-                kind = "hard" if longest_run(text) > limit else "soft"
-                own = [(i, a, b, how, text[a:b]) for i, (a, b, how) in enumerate(cut(text, 0, len(text), limit, overlap))]
-                pieces += own
-                tables += [table] * len(own)
-                ids += [row] * len(own)
-                kinds += [kind] * len(own)
-            out = pd.DataFrame(pieces, columns=["piece", "start", "end", "boundary", "text"])
-            out.insert(0, "cut_kind", kinds)
-            out.insert(0, "row_id", pd.array(ids, dtype="Int64"))
-            out.insert(0, "tbl", tables)
-            yield out
-
-    return split
+def halo_of(limit: int) -> int:
+    """How far a range looks for the first boundary of the next one."""
+    return max(HALO, 2 * limit)
 
 
 def _ranges(limit: int, overlap: int, range_chars: int):
+    halo = halo_of(limit)
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for table, row, doc, number, text in zip(*(batch[c] for c in ("tbl", "row_id", "doc", "range", "part"))):
+            for doc, number, text in zip(batch["doc"], batch["range"], batch["part"]):
                 at = min(overlap, number * range_chars)  # the left halo's length
-                first, last = bounds(text, number == 0, at, at + range_chars)
+                first, last = bounds(text, number == 0, at, at + range_chars, halo)
                 own = cut(text, first, last, limit, overlap, min(overlap, first)) if last > first else []
                 base = number * range_chars - at
                 pieces = [(i, a + base, b + base, how, text[a:b]) for i, (a, b, how) in enumerate(own)]
-                rows.append((table, row, doc, number, longest_run(text[first:last]), pieces))
-            out = pd.DataFrame(rows, columns=["tbl", "row_id", "doc", "range", "longest", "pieces"])
-            out["row_id"] = out["row_id"].astype("Int64")
-            yield out
+                rows.append((doc, number, longest_run(text, first, last), pieces))
+            yield pd.DataFrame(rows, columns=["doc", "range", "longest", "pieces"])
 
     return split
 
 
-def split_texts(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, threshold: int = THRESHOLD, range_chars: int = RANGE) -> DataFrame:
-    """The pieces of the texts in ``body`` longer than ``threshold``; df has tbl, row_id and body.
+INNER = PIECES.replace(", ", ",").replace(" ", ":")
+
 
-    Texts up to ``range_chars`` characters are one range each and are cut where they are read. Longer
-    ones are spread by ranges; only their ranges' figures meet in one place.
+def _stitched(found: DataFrame, text: list[str], limit: int, sums: dict[str, str]) -> DataFrame:
+    """The rows of ranges with cut_kind, number of the first piece, and the sums of what lies before.
+
+    ``text`` are the columns that name a text; only a few figures per range are windowed, the pieces are
+    joined to them by range.
     """
-    if limit <= 2 * overlap:
-        raise ValueError("the overlap must be less than half the limit")
-    rows = df.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "body")
-    length = F.length("body")
-    columns = f"tbl string, row_id bigint, cut_kind string, {PIECES}"
-    small = rows.filter((length > threshold) & (length <= range_chars)).mapInPandas(_small(limit, overlap), columns)
-    giant = rows.filter((length > threshold) & (length > range_chars)).withColumn("doc", F.monotonically_increasing_id())
-    halo = max(HALO, 4 * limit)
-    begin = F.col("range") * range_chars
-    left = F.least(begin, F.lit(overlap))
-    ranged = giant.withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / range_chars).cast("int")))).select(
-        "tbl",
-        "row_id",
-        "doc",
+    figures = found.select(*text, "range", "longest", F.size("pieces").alias("own"), *(F.col(c) for c in sums))
+    before = W.partitionBy(*text).orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    figures = figures.select(
+        *text,
         "range",
-        F.substring("body", begin - left + 1, left + range_chars + halo).alias("part"),
-    )
-    inner = PIECES.replace(", ", ",").replace(" ", ":")
-    parts = f"tbl string, row_id bigint, doc bigint, range int, longest int, pieces array<struct<{inner}>>"
-    found = ranged.repartition("doc", "range").mapInPandas(_ranges(limit, overlap, range_chars), parts)
-    order = W.partitionBy("doc").orderBy("range")  # a row per range
-    stitched = found.select(
-        "tbl",
-        "row_id",
-        F.when(F.max("longest").over(W.partitionBy("doc")) > limit, "hard").otherwise("soft").alias("cut_kind"),
-        F.sum(F.size("pieces")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"),
-        F.size("pieces").alias("own"),
-        "pieces",
-    )
-    giants = stitched.select("tbl", "row_id", "cut_kind", "upto", "own", F.inline("pieces")).select(
-        "tbl", "row_id", "cut_kind", (F.col("piece") + F.col("upto") - F.col("own")).cast("int").alias("piece"), "start", "end", "boundary", "text"
+        F.when(F.max("longest").over(W.partitionBy(*text)) > limit, "hard").otherwise("soft").alias("cut_kind"),
+        (F.sum("own").over(before) - F.col("own")).alias("number"),
+        *((F.sum(c).over(before) - F.col(c)).alias(name) for c, name in sums.items()),
     )
-    return small.unionByName(giants)
+    return found.select(*text, "range", "pieces").join(figures, [*text, "range"])
+
+
+def split_texts(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, threshold: int = THRESHOLD, range_chars: int = RANGE) -> DataFrame:
+    """The pieces of the texts in ``body`` longer than ``threshold``; df has tbl, row_id and body."""
+    if limit <= 2 * overlap or range_chars <= overlap:
+        raise ValueError("the overlap must be less than half the limit, and less than a range")
+    rows = df.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "body").filter(F.length("body") > threshold)
+    # a text is named by its table, row and content, and a number that tells repeated rows apart
+    doc = F.struct("tbl", "row_id", F.monotonically_increasing_id().alias("row"))
+    ranged = rows.withColumn("doc", doc).withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / range_chars).cast("int"))))
+    begin = F.col("range") * range_chars
+    left = F.least(begin, F.lit(overlap))
+    part = F.substring("body", begin - left + 1, left + range_chars + halo_of(limit))
+    ranged = ranged.select(F.to_json("doc", {"ignoreNullFields": "false"}).alias("doc"), "range", part.alias("part"))
+    found = ranged.mapInPandas(_ranges(limit, overlap, range_chars), f"doc string, range int, longest int, pieces array<struct<{INNER}>>")
+    found = stored(found, "pieces")  # row numbers are fixed from here
+    named = F.from_json("doc", "tbl string, row_id bigint")
+    whole = _stitched(found, ["doc"], limit, {}).select(named.alias("of"), "cut_kind", "number", F.inline("pieces"))
+    return whole.select("of.tbl", "of.row_id", "cut_kind", (F.col("piece") + F.col("number")).cast("int").alias("piece"), "start", "end", "boundary", "text")
 
 
 def cut_kinds(pieces: DataFrame) -> DataFrame:
@@ -232,7 +229,8 @@ def _decode(raw: bytes, first: bool) -> tuple[str, int]:
 
 
 def _file_ranges(limit: int, overlap: int, range_bytes: int):
-    halo = 4 * max(HALO, 4 * limit)
+    most = halo_of(limit)
+    halo = 4 * (most + limit)  # in bytes
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,10 +244,10 @@ def _file_ranges(limit: int, overlap: int, range_bytes: int):
                 left = _decode(both[: back + skipped], low == back)[0][-overlap:] if back else ""
                 to = sum(byte & 0xC0 != 0x80 for byte in raw[skipped : high - low]) if high < size else len(text)
                 at, text = len(left), left + text
-                first, last = bounds(text, low == 0, at, at + to)
+                first, last = bounds(text, low == 0, at, at + to, most)
                 own = cut(text, first, last, limit, overlap, min(overlap, first)) if last > first else []
                 pieces = [(i, a - first, b - first, how, text[a:b]) for i, (a, b, how) in enumerate(own)]
-                rows.append((path, number, low + skipped + len(text[at:first].encode("utf-8")), last - first, longest_run(text[first:last]), pieces))
+                rows.append((path, number, low + skipped + len(text[at:first].encode("utf-8")), last - first, longest_run(text, first, last), pieces))
             yield pd.DataFrame(rows, columns=["path", "range", "start_byte", "chars", "longest", "pieces"])
 
     return split
@@ -258,21 +256,13 @@ def _file_ranges(limit: int, overlap: int, range_bytes: int):
 def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = 8 << 20) -> DataFrame:
     """The pieces of UTF-8 files under ``path``, with offsets in characters of the whole file.
 
-    Files are listed with their lengths only; workers read byte ranges. Character offsets and piece
-    numbers come from prefix sums over the ranges' lengths.
+    Files are listed with their lengths only; workers read byte ranges, a range of one file each. Character
+    offsets and piece numbers come from prefix sums over the ranges' lengths.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
     ranged = listed.withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes).cast("int"))))
-    inner = PIECES.replace(", ", ",").replace(" ", ":")
-    found = ranged.repartition("path", "range").mapInPandas(_file_ranges(limit, overlap, range_bytes), f"path string, range int, start_byte bigint, chars bigint, longest int, pieces array<struct<{inner}>>")
-    upto = W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    stitched = found.select(
-        "path",
-        F.when(F.max("longest").over(W.partitionBy("path")) > limit, "hard").otherwise("soft").alias("cut_kind"),
-        (F.sum("chars").over(upto) - F.col("chars")).alias("base"),
-        (F.sum(F.size("pieces")).over(upto) - F.size("pieces")).alias("number"),
-        "pieces",
-    )
-    return stitched.select("path", "cut_kind", "base", "number", F.inline("pieces")).select(
+    found = ranged.repartition("path", "range").mapInPandas(_file_ranges(limit, overlap, range_bytes), f"path string, range int, start_byte bigint, chars bigint, longest int, pieces array<struct<{INNER}>>")
+    whole = _stitched(stored(found, "file-pieces"), ["path"], limit, {"chars": "base"})
+    return whole.select("path", "cut_kind", "base", "number", F.inline("pieces")).select(
         "path", "cut_kind", (F.col("piece") + F.col("number")).cast("int").alias("piece"), (F.col("start") + F.col("base")).alias("start"), (F.col("end") + F.col("base")).alias("end"), "boundary", "text"
     )

@@ -104,5 +104,30 @@ def test_pieces_overlap_across_range_borders(spark, tmp_path):
         assert {b0 - a1 for (_, _, b0, _), (_, a1, _, _) in zip(pieces, pieces[1:])} == {30}
 
 
+def test_runs_are_measured_across_ranges(spark):
+    """A range may begin inside a run, behind a full stop without white space."""
+    run = "語" * 1_300 + "。" + "語" * 1_300
+    text = "w " * 500 + run + " end" * 400
+    df = spark.createDataFrame([("t", 1, text, "c"), ("t", 2, "w " * 500 + "語" * 1_400 + " end" * 400, "c")], ROWS)
+    for size in (400, 1_000, 1_200, 2_000, 2_300, 1 << 20):
+        assert {(r["row_id"], r["cut_kind"]) for r in sp.split_texts(df, range_chars=size).collect()} == {(1, "hard"), (2, "soft")}
+    for size in range(1, 60):
+        line = "ab cdefghijkl  m 。nopqrstuvwxyz " * 2
+        inside = [sp.longest_run(line, a, min(len(line), a + size)) for a in range(0, len(line), size)]
+        assert max(inside) == sp.longest_run(line) == 14
+
+
+def test_overlap_is_exact_at_every_joint_for_any_range(spark):
+    text = "Some words here. " * 900
+    df = spark.createDataFrame([("t", 1, text, "c"), ("t", 1, text, "c")], ROWS)
+    for size in (1_700, 4_096, sp.RANGE, 1 << 20):
+        pieces = sorted((r["piece"], r["start"], r["end"], r["text"]) for r in sp.split_texts(df, range_chars=size).collect())
+        assert pieces[::2] == pieces[1::2]  # the repeated row
+        mine = pieces[::2]
+        assert [m[0] for m in mine] == list(range(len(mine))) and mine[0][1] == 0 and mine[-1][2] == len(text)
+        assert all(text[a:b] == piece and b - a <= sp.LIMIT for _, a, b, piece in mine)
+        assert {b0 - a1 for (_, _, b0, _), (_, a1, _, _) in zip(mine, mine[1:])} == {sp.OVERLAP}
+
+
 def test_empty_table(spark):
     assert sp.split_texts(spark.createDataFrame([], ROWS)).count() == 0
