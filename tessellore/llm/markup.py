@@ -1,12 +1,15 @@
 """Documents with residues of HTML, wiki, LaTeX and doc-hub markup as clean structured text.
 
-A text is cut into flat blocks: fenced code as it stands, and the stretches between blank lines. In
-what is not code the constructs of the four families are found and converted, so that headings,
-lists, tables, code and formulas stay (as Markdown) and the rest of the markup goes. Every block has
-its number of words and its link density; a decision tree, trained on the small labelled table
-below, looks at these figures of the block and of its neighbours and tells content from boilerplate
-(navigation, legal lines, reading aids). Only plain prose can be dropped as boilerplate: headings,
-lists, tables, code and formulas are always kept.
+A text is cut into flat blocks: fenced code as it stands, and the stretches between blank lines; a
+construct that runs over blank lines (a comment, template, table, environment or hub block) holds its
+block together. Every block is measured as it stands in the source, before anything is converted: its
+number of words, the share of them that stand in links of any syntax, and its number of marks that could
+begin a construct. A decision tree, trained on the small labelled table below, looks at these figures of
+the block and at words and link density of its neighbours and tells three classes: plain content, which
+is passed on as it is; content with markup, in which the constructs of the four families are looked for
+and converted, so that headings, lists, tables, code and formulas stay (as Markdown) and the rest of the
+markup goes; and boilerplate (navigation, legal lines, reading aids), of which only headings, code and
+formulas are kept. The families of a text are those found in its blocks.
 
 Defined results: null and blank texts give no blocks and the clean text ""; a fence that is not
 closed runs to the end of the text, as does an unclosed comment; an unreadable block body is kept as
@@ -109,8 +112,8 @@ def is_element(name: str) -> bool:
     return name.lower() in ELEMENTS and (name.islower() or name.isupper())
 
 
-def is_component(m: re.Match) -> bool:
-    """Whether a tag is a component's: capital initial, and no type argument or placeholder."""
+def is_component(m: re.Match, whole: str | None = None) -> bool:
+    """Whether a tag is a component's: capital initial, and no type argument or placeholder (which ``whole`` closes nowhere)."""
     closing, name, attributes = m.groups()
     if not name[0].isupper() or is_element(name):
         return False
@@ -119,7 +122,7 @@ def is_component(m: re.Match) -> bool:
     before = m.string[m.start() - 1] if m.start() else " "
     if before.isalnum() or before == "_":
         return False
-    return not (len(name) > 1 and name.isupper() and not attributes.strip(" /") and f"</{name}>" not in m.string)
+    return not (len(name) > 1 and name.isupper() and not attributes.strip(" /") and f"</{name}>" not in (m.string if whole is None else whole))
 
 
 def is_entity(m: re.Match) -> bool:
@@ -132,8 +135,8 @@ def is_formula(m: re.Match) -> bool:
     return bool(inside) and (len(inside) <= 2 and inside.isalnum() and not inside.isdigit() or bool(OPERATOR.search(inside)) and HIDDEN not in inside)
 
 
-def families_of(text: str) -> set[str]:
-    """The families that have a construct in the text, from which code is hidden already."""
+def families_of(text: str, whole: str | None = None) -> set[str]:
+    """The families that have a construct in a block, from which code is hidden already; ``whole`` is the block's text."""
     found = set()
     if not TRIGGER.search(text):
         return found
@@ -143,7 +146,7 @@ def families_of(text: str) -> set[str]:
         for m in TAG.finditer(text):
             if is_element(m[2]):
                 found.add("html")
-            elif is_component(m):
+            elif is_component(m, whole):
                 found.add("block")
     if "html" not in found and "&" in text and any(is_entity(m) for m in ENTITY.finditer(text)):
         found.add("html")
@@ -373,12 +376,10 @@ def convert(text: str, kept: Kept) -> str:
 
 @dataclass
 class Block:
-    """A flat block: its text, what it is, its figures, and what the tree says."""
+    """A flat block of the clean text: what it is, its text, and whether it is kept."""
 
     kind: str  # prose, heading, list, table, code, formula, quote
     text: str
-    words: int = 0
-    linked: float = 0.0  # the share of its words that stand in links
     content: bool = True
 
 
@@ -397,132 +398,215 @@ def kind_of(text: str) -> str:
     return "prose"
 
 
-def measure(block: Block) -> Block:
-    linked = sum(len(WORDS.findall(m[1])) for m in MD_LINK.finditer(block.text)) if "](" in block.text else 0
-    plain = MD_LINK.sub(r"\1", block.text) if "](" in block.text else block.text
-    block.words = len(WORDS.findall(plain))
-    block.linked = linked / block.words if block.words else 0.0
-    return block
-
-
-#: The labelled table: words and link density of the block before, the block, the block after; 1 for content.
+#: What may hold a block together over blank lines: (how it begins, how it ends), in lower case.
+HOLDING = (
+    ("<!--", "-->"), ("{{", "}}"), ("{|", "|}"), ("[block:", "[/block]"), ("\\begin{", "\\end{"),
+    *((f"<{name}", f"</{name}") for name in ("pre", "table", "script", "style", "noscript", "template", "svg", "ul", "ol", "dl")),
+)
+OPENING = re.compile("|".join(re.escape(a) for a, _ in HOLDING), re.I)
+
+
+def flat_blocks(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The blocks between blank lines of text[start:end], together where a construct is open."""
+    low, dead = None, set()  # dead: constructs that are closed nowhere behind
+    gaps = [m.span() for m in BLANK.finditer(text, start, end)]
+    at, i = start, 0
+    while at < end:
+        stop, after = gaps[i] if i < len(gaps) else (end, end)
+        i += 1
+        if stop < end and OPENING.search(text, at, stop):
+            low = low or text.lower()
+            checked = False
+            while not checked and stop < end:
+                checked = True
+                for opens, closes in HOLDING:
+                    if opens in dead or low.count(opens, at, stop) <= low.count(closes, at, stop):
+                        continue
+                    found = low.find(closes, stop, end)
+                    if found < 0:
+                        dead.add(opens)
+                        continue
+                    while stop <= found:
+                        stop, after = gaps[i] if i < len(gaps) else (end, end)
+                        i += 1
+                    checked = False
+        if stop > at:
+            yield at, stop
+        at = after
+
+
+def linked_words(text: str) -> int:
+    """How many words of a block stand in links of any syntax."""
+    count = 0
+    if "](" in text:
+        count += sum(len(WORDS.findall(m[1])) for m in MD_LINK.finditer(text))
+    if "<a" in text or "<A" in text:
+        count += sum(len(WORDS.findall(TAG.sub(" ", m[1]))) for m in ANCHOR.finditer(text))
+    if "[[" in text:
+        count += sum(len(WORDS.findall(m[1].rpartition("|")[2])) for m in LINK.finditer(text))
+    if "[http" in text:
+        count += sum(len(WORDS.findall(m[2])) for m in EXTERNAL.finditer(text))
+    return count
+
+
+def measured(text: str) -> tuple[int, float, int]:
+    """Words, link density and marks of a block as it stands in the source."""
+    marks = len(TRIGGER.findall(text))
+    if not marks:
+        return len(WORDS.findall(text)), 0.0, 0
+    seen = TAG.sub(" ", text) if "<" in text else text
+    seen = MD_LINK.sub(r"\1", seen) if "](" in seen else seen
+    words = len(WORDS.findall(seen))
+    return words, min(1.0, linked_words(text) / words) if words else 0.0, marks
+
+
+PLAIN, MARKED, BOILERPLATE = 0, 1, 2
+#: The labelled table, from blocks of documentation pages and of the menus and legal lines around them.
+#: Words and link density of the block before; words, link density and marks of the block; words and link
+#: density of the block after; the class.
 LABELLED = """
-0 0.0   40 0.0   35 0.0   1
-35 0.0  28 0.05  60 0.0   1
-60 0.0  90 0.1   0 0.0    1
-12 0.0  25 0.0   14 0.0   1
-3 0.0   31 0.0   44 0.0   1
-44 0.0  18 0.1   31 0.0   1
-50 0.0  14 0.2   50 0.0   1
-22 0.0  12 0.0   30 0.0   1
-8 0.0   11 0.0   20 0.1   1
-20 0.1  10 0.0   25 0.0   1
-30 0.0  7 0.0    40 0.0   1
-40 0.0  6 0.0    35 0.0   1
-25 0.0  4 0.0    60 0.0   1
-60 0.0  2 0.0    20 0.0   1
-18 0.0  1 0.0    33 0.0   1
-0 0.0   9 0.0    0 0.0    1
-0 0.0   4 0.0    0 0.0    1
-0 0.0   7 0.0    25 0.0   1
-33 0.0  5 0.2    0 0.0    1
-70 0.0  45 0.3   22 0.0   1
-15 0.0  20 0.35  15 0.0   1
-29 0.0  3 0.3    41 0.0   1
-0 0.0   2 1.0    1 1.0    0
-2 1.0   1 1.0    3 1.0    0
-3 1.0   3 1.0    30 0.0   0
-0 0.0   6 0.9    40 0.0   0
-40 0.0  5 1.0    0 0.0    0
-5 1.0   4 0.75   4 1.0    0
-30 0.0  8 0.8    6 1.0    0
-6 1.0   12 0.7   2 1.0    0
-0 0.0   15 0.95  8 1.0    0
-25 0.0  30 0.9   5 1.0    0
-12 0.6  9 0.67   12 0.6   0
-50 0.0  18 0.85  0 0.0    0
-4 1.0   2 0.5    4 1.0    0
-0 0.0   25 0.8   10 0.9   0
-9 0.8   3 0.6    3 1.0    0
-35 0.0  2 1.0    28 0.0   0
-14 0.0  10 1.0   14 0.0   0
-3 1.0   2 0.0    2 1.0    0
-5 0.9   1 0.0    4 1.0    0
-2 1.0   3 0.0    6 0.8    0
-6 1.0   2 0.1    3 1.0    0
-4 0.8   4 0.0    5 0.9    0
-8 1.0   3 0.0    3 0.7    0
-3 1.0   30 0.0   2 1.0    1
-5 0.9   22 0.1   4 1.0    1
-7 1.0   16 0.0   9 0.9    1
-2 0.8   41 0.1   3 1.0    1
+0 0.0   40 0.0 0    35 0.0   plain
+18 0.0  28 0.0 0    60 0.0   plain
+60 0.0  90 0.0 0    0 0.0    plain
+44 0.0  31 0.0 0    0 0.0    plain
+50 0.0  14 0.0 0    50 0.1   plain
+22 0.1  12 0.0 0    30 0.0   plain
+20 0.1  7 0.0 0     25 0.0   plain
+30 0.0  4 0.0 0     40 0.0   plain
+60 0.0  2 0.0 0     20 0.0   plain
+18 0.0  1 0.0 0     33 0.0   plain
+0 0.0   9 0.0 0     0 0.0    plain
+0 0.0   3 0.0 0     25 0.2   plain
+2 0.0   0 0.0 0     12 0.0   plain
+3 1.0   30 0.0 0    2 1.0    plain
+7 1.0   16 0.0 0    9 0.9    plain
+0 0.0   40 0.0 1    35 0.0   marked
+18 0.0  28 0.0 2    60 0.0   marked
+35 0.0  28 0.05 4   60 0.0   marked
+60 0.0  90 0.1 12   0 0.0    marked
+44 0.0  18 0.1 1    31 0.0   marked
+50 0.0  14 0.2 3    50 0.0   marked
+22 0.0  12 0.0 1    30 0.0   marked
+8 0.0   11 0.0 6    20 0.1   marked
+20 0.1  10 0.1 2    25 0.0   marked
+30 0.0  7 0.0 1     40 0.0   marked
+40 0.0  4 0.25 2    35 0.0   marked
+25 0.0  4 0.0 1     60 0.0   marked
+60 0.0  2 0.0 1     20 0.0   marked
+18 0.0  1 0.0 1     33 0.0   marked
+12 0.0  0 0.0 1     30 0.0   marked
+0 0.0   9 0.0 1     0 0.0    marked
+0 0.0   3 0.0 2     25 0.0   marked
+33 0.0  5 0.2 2     0 0.0    marked
+70 0.0  45 0.3 9    22 0.0   marked
+15 0.0  20 0.35 5   15 0.0   marked
+29 0.0  3 0.33 1    41 0.0   marked
+14 0.0  0 0.0 2     0 0.0    marked
+1 0.0   1 1.0 1     14 0.0   marked
+14 0.0  1 1.0 1     13 0.0   marked
+1 0.0   2 0.5 1     3 1.0    marked
+5 0.9   22 0.1 3    4 1.0    marked
+2 0.8   41 0.1 1    3 1.0    marked
+4 1.0   19 0.0 1    3 1.0    marked
+0 0.0   2 1.0 2     1 1.0    boilerplate
+2 1.0   2 1.0 2     3 1.0    boilerplate
+3 1.0   3 1.0 3     30 0.0   boilerplate
+0 0.0   6 0.9 6     40 0.0   boilerplate
+40 0.0  5 1.0 5     0 0.0    boilerplate
+5 1.0   4 0.75 3    4 1.0    boilerplate
+30 0.0  8 0.8 4     6 1.0    boilerplate
+6 1.0   12 0.7 9    2 1.0    boilerplate
+0 0.0   15 0.95 20  8 1.0    boilerplate
+25 0.0  30 0.9 40   5 1.0    boilerplate
+12 0.6  9 0.67 6    12 0.6   boilerplate
+50 0.0  18 0.85 16  0 0.0    boilerplate
+0 0.0   25 0.8 24   10 0.9   boilerplate
+35 0.0  3 1.0 3     28 0.0   boilerplate
+14 0.0  10 1.0 8    14 0.0   boilerplate
+9 0.8   4 0.75 4    3 1.0    boilerplate
+4 1.0   2 1.0 4     4 1.0    boilerplate
+3 1.0   2 0.0 0     2 1.0    boilerplate
+5 0.9   1 0.0 0     4 1.0    boilerplate
+2 1.0   3 0.0 0     6 0.8    boilerplate
+4 0.8   4 0.0 0     5 0.9    boilerplate
+8 1.0   3 0.0 0     3 0.7    boilerplate
 """
+CLASSES = ("plain", "marked", "boilerplate")
 
 
 @cache
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    rows = np.array([[float(x) for x in line.split()] for line in LABELLED.strip().split("\n")])
-    return rows[:, :-1], rows[:, -1].astype(bool)
+    rows = [line.split() for line in LABELLED.strip().split("\n")]
+    return np.array([[float(x) for x in r[:-1]] for r in rows]), np.array([CLASSES.index(r[-1]) for r in rows])
+
+
+def impurity(labels: np.ndarray) -> float:
+    """The Gini impurity, times the number of labels."""
+    shares = np.bincount(labels, minlength=len(CLASSES)) / max(1, len(labels))
+    return len(labels) * float((shares * (1 - shares)).sum())
 
 
-def train(features: np.ndarray, labels: np.ndarray, depth: int = 4, least: int = 2) -> tuple:
-    """A binary tree by the Gini impurity: (feature, threshold, left, right) or the share of content."""
-    share = labels.mean()
-    if depth == 0 or share in (0.0, 1.0) or len(labels) < 2 * least:
-        return (float(share),)
+def train(features: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
+    """A binary tree by the Gini impurity: (feature, threshold, left, right), or the class of a leaf."""
+    leaf = (int(np.bincount(labels, minlength=len(CLASSES)).argmax()),)
+    if depth == 0 or len(np.unique(labels)) == 1 or len(labels) < 2 * least:
+        return leaf
     best = None
     for f in range(features.shape[1]):
         for t in np.unique(features[:, f])[:-1]:
             left = features[:, f] <= t
-            n = left.sum()
-            if n < least or len(labels) - n < least:
+            if min(left.sum(), (~left).sum()) < least:
                 continue
-            p, q = labels[left].mean(), labels[~left].mean()
-            impurity = n * p * (1 - p) + (len(labels) - n) * q * (1 - q)
-            if best is None or impurity < best[0] - 1e-12:
-                upper = features[features[:, f] > t, f].min()
-                best = (impurity, f, float((t + upper) / 2))
-    if best is None or best[0] >= len(labels) * share * (1 - share) - 1e-12:
-        return (float(share),)
+            cost = impurity(labels[left]) + impurity(labels[~left])
+            if best is None or cost < best[0] - 1e-12:
+                best = (cost, f, float((t + features[~left, f].min()) / 2))
+    if best is None or best[0] >= impurity(labels) - 1e-12:
+        return leaf
     left = features[:, best[1]] <= best[2]
     return (best[1], best[2], train(features[left], labels[left], depth - 1, least), train(features[~left], labels[~left], depth - 1, least))
 
 
-def predict(tree: tuple, features: tuple[float, ...]) -> float:
+def predict(tree: tuple, features: tuple[float, ...]) -> int:
     while len(tree) > 1:
         tree = tree[2] if features[tree[0]] <= tree[1] else tree[3]
     return tree[0]
 
 
 def blocks_of(text: str | None, tree: tuple) -> tuple[list[Block], set[str]]:
-    """The classified blocks of a text and the families of markup found in it."""
+    """The blocks of a text's clean form and the families of markup found in it."""
     if text is None or not text.strip():
         return [], set()
     kept, out, found = Kept(), [], set()
     text = text.replace("\x01", " ").replace("\x02", " ").replace("\x03", " ") if any(c in text for c in "\x01\x02\x03") else text
-    stretches = split_code(text)
-    # comments may run over code and paragraphs, all else is found in the text with its code hidden
-    outside = text if len(stretches) == 1 and not stretches[0][0] else "".join(re.sub(r"[^\n]", HIDDEN, text[a:b]) if code else text[a:b] for code, a, b in stretches)
-    found |= families_of(hide_spans(outside))
-    for code, a, b in stretches:
+    source = [(code, *span) for code, a, b in split_code(text) for span in ([(a, b)] if code else flat_blocks(text, a, b))]
+    figures = [measured(text[a:b]) if not code else (len(WORDS.findall(text[a:b])), 0.0, 0) for code, a, b in source]
+    nothing, tags = (0, 0.0, 0), text if "</" in text else ""
+    for i, (code, a, b) in enumerate(source):
         if code:
             out.append(Block("code", text[a:b].strip("\n")))
             continue
-        for part in BLANK.split(convert(text[a:b], kept)):
-            if part := part.strip("\n").rstrip():
-                whole = kept.back(part)
-                out.append(Block("code" if whole.startswith("```") else kind_of(whole), re.sub(r"\n{2,}", "\n", whole) if not whole.startswith("```") else whole))
-    for x in out:
-        measure(x)
-    for i, x in enumerate(out):
-        if x.kind == "prose":
-            before, after = out[i - 1] if i else None, out[i + 1] if i + 1 < len(out) else None
-            figures = (before.words if before else 0, before.linked if before else 0.0, x.words, x.linked, after.words if after else 0, after.linked if after else 0.0)
-            x.content = predict(tree, figures) >= 0.5
+        before, after = figures[i - 1] if i else nothing, figures[i + 1] if i + 1 < len(source) else nothing
+        what = predict(tree, (*before[:2], *figures[i], *after[:2]))
+        part = text[a:b]
+        if what == PLAIN:
+            _append(out, part, True)
+            continue
+        found |= families_of(hide_spans(part), tags)
+        for piece in BLANK.split(convert(part, kept)):
+            _append(out, kept.back(piece.strip("\n").rstrip()), what != BOILERPLATE)
     return out, found
 
 
-def _clean(tree: tuple, texts: bool):
+def _append(out: list[Block], text: str, content: bool) -> None:
+    """Add a block of the clean text, if there is anything in it; of boilerplate only what is worth keeping."""
+    text = text.strip("\n").rstrip()
+    if not text:
+        return
+    kind = "code" if text.startswith("```") else kind_of(text)
+    out.append(Block(kind, text if kind == "code" else re.sub(r"\n{2,}", "\n", text), content or kind in ("heading", "code", "formula")))
+
+
+def _clean(tree: tuple):
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -531,7 +615,7 @@ def _clean(tree: tuple, texts: bool):
                 kept = [b for b in blocks if b.content]
                 kinds = [b.kind for b in kept]
                 rows.append((
-                    [f for f in FAMILIES if f in found], "\n\n".join(b.text for b in kept) if texts else "", len(blocks), len(blocks) - len(kept),
+                    [f for f in FAMILIES if f in found], "\n\n".join(b.text for b in kept), len(blocks), len(blocks) - len(kept),
                     *(kinds.count(k) for k in ("heading", "list", "table", "code", "formula")),
                 ))
             out = pd.DataFrame(rows, columns=["families", "clean_text", "blocks", "dropped", "headings", "lists", "tables", "codes", "formulas"])
@@ -545,13 +629,10 @@ def _clean(tree: tuple, texts: bool):
 CLEAN_SCHEMA = "tbl string, row_id bigint, families array<string>, clean_text string, blocks int, dropped int, headings int, lists int, tables int, codes int, formulas int"
 
 
-def clean_texts(df: DataFrame, texts: bool = True) -> DataFrame:
-    """The clean text of each ``body`` (df has tbl, row_id, body), its families and block counts.
-
-    With ``texts`` false the same work is done but the clean text is not sent back.
-    """
+def clean_texts(df: DataFrame) -> DataFrame:
+    """The clean text of each ``body`` (df has tbl, row_id, body), its families and block counts."""
     tree = train(*labelled())
-    return df.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "body").mapInPandas(_clean(tree, texts), CLEAN_SCHEMA)
+    return df.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), "body").mapInPandas(_clean(tree), CLEAN_SCHEMA)
 
 
 def found_families(cleaned: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The families of markup in each text."""
-    return markup.found_families(markup.clean_texts(_texts(spark, sf_dir, header=True), texts=False))
+    return markup.found_families(markup.clean_texts(_texts(spark, sf_dir, header=True)))
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
