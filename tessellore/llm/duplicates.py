@@ -7,15 +7,20 @@ the shingle of its earliest arrival. Two signatures agree in a component with th
 Jaccard similarity, which for equal weights is the Jaccard similarity. A process is followed no
 longer than an arrival can still be the earliest of some component.
 
-Texts whose signatures agree in a whole band meet in a bucket. For the groups no bucket emits all its pairs: first
-every member is verified against the bucket's smallest id only; the links found make components; then
-only members of one bucket that are still in different components are verified. So all candidates of
-the banding that could join two components are decided exactly, while a bucket of copies of one page
-costs as many comparisons as it has members. Only where the links of each document are to be counted
-are all pairs of a bucket verified, in blocks: that grows with the square of a family's distinct texts.
-
-Exact copies are collapsed by a 128-bit hash before the banding. Links, components and texts stay
-distributed; each round of the component search cuts its lineage with a checkpoint.
+Texts whose signatures agree in a whole band meet in a bucket. Pairs from the buckets whose signatures
+agree in so few components that their likeness cannot reach the threshold are dropped (six standard
+deviations below it: the chance to lose a pair by this is 1e-9, that of the banding `MISS`); all others
+are verified exactly on whole texts. For the groups no bucket emits all its pairs: first every member is
+compared with the bucket's smallest id only; the links found make components; then only members of one
+bucket that are still in different components are compared, those outside the bucket's largest component
+with all others. So all candidates of the banding that could join two components are decided, while a
+bucket of copies of one page costs as many comparisons as it has members. Only where the links of each
+document are to be counted are all pairs of a bucket compared, in blocks: that grows with the square of a
+family's distinct texts.
+
+Exact copies are collapsed by a 128-bit hash before the signing. Links, components and texts stay
+distributed; each round of the component search cuts its lineage with a checkpoint. Aggregates per bucket
+combine before the shuffle, and large buckets are joined in blocks, so none has to fit into one task.
 
 Defined results: null texts, and those shorter than ``least_chars`` after trimming, take no part;
 texts with fewer words than a shingle are one shingle of all their words; texts without any word are
@@ -25,6 +30,7 @@ only like their exact copies. Repeated ids are one document with several texts.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessellore.runtime import checkpoint, strip
+from tessellore.runtime import broadcast_if_small, checkpoint, stored, strip
 
 WORDS = 5
 LEAST = 0.8
 COMPONENTS = 200
 BLOCK_DOCS = 256
 MISS = 1e-3
+MOST_BROADCAST = 20_000  # exact copies that are broadcast to be left out; more are joined
 
 WORD = re.compile(r"[^\W_]+")
 U64 = np.uint64
@@ -158,12 +165,27 @@ def _sign(words: int, weighted: bool, components: int, bands: int, rows: int, bl
                 some = np.array([len(s) > 0 for s, _ in found], dtype=bool)
                 found = [f for f in found if len(f[0])]
                 signatures = prob_min_hash([s for s, _ in found], [c for _, c in found] if weighted else None, components)
-                out = part.loc[some, ["doc", "h1", "h2"]]
-                yield out.assign(buckets=list(bands_of(signatures, bands, rows)))
+                sketches = signatures.astype(np.uint8)  # the lowest byte of each component
+                yield part.loc[some, ["doc"]].assign(buckets=list(bands_of(signatures, bands, rows)), sketch=[x.tobytes() for x in sketches])
 
     return sign
 
 
+def least_agreement(least: float, components: int) -> int:
+    """In how many bytes two sketches agree at least, by six standard deviations, at a likeness of ``least``."""
+    return math.floor(components * least - 6 * math.sqrt(components * least * (1 - least)))
+
+
+def _likely(least: int):
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
+                yield batch.loc[(a == b).sum(axis=1) >= least, ["a", "b"]]
+
+    return likely
+
+
 def _verify(words: int, least: float, weighted: bool):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
@@ -220,50 +242,66 @@ def duplicate_groups(df: DataFrame, id_col: str = "page_id", text_col: str = "bo
     """
     bands, rows = banding(least, components_count)
     texts = taking_part(df, id_col, text_col, least_chars)
-    signed = texts.mapInPandas(_sign(words, weighted, components_count, bands, rows), "doc bigint, h1 bigint, h2 bigint, buckets array<bigint>")
-    distinct = signed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.any_value("buckets").alias("buckets"))
-    banded = distinct.select("doc", F.explode("buckets").alias("bucket"))
-    bucket = W.partitionBy("bucket")
-    shared = banded.withColumn("pivot", F.min("doc").over(bucket)).withColumn("top", F.max("doc").over(bucket)).filter("pivot <> top").drop("top")
-    shared = checkpoint(shared)
+    members = checkpoint(texts.select("doc", "h1", "h2"))
+    of_copies = members.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
+    copies = checkpoint(members.join(of_copies.filter("copies > 1"), ["h1", "h2"]).filter("doc <> first").select("doc", "h1", "h2"))
+    distinct = texts.join(broadcast_if_small(copies, MOST_BROADCAST), ["doc", "h1", "h2"], "left_anti").select("doc", "body")
+    signed = stored(distinct.mapInPandas(_sign(words, weighted, components_count, bands, rows), "doc bigint, buckets array<bigint>, sketch binary"), "signatures")
+    banded = signed.select("doc", F.explode("buckets").alias("bucket"))
+    met = banded.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot <> top").select("bucket", "pivot")
+    shared = checkpoint(banded.join(met, "bucket"))
+    agreement = least_agreement(least, components_count)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        bodies = texts.select("doc", "body")
-        left = pairs.join(bodies.select(F.col("doc").alias("b"), F.col("body").alias("body_b")), "b")
+        sketch = lambda side: signed.select(F.col("doc").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+        likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInPandas(_likely(agreement), "a bigint, b bigint")
+        bodies = distinct.select("doc", "body")
+        left = likely.join(bodies.select(F.col("doc").alias("b"), F.col("body").alias("body_b")), "b")
         whole = left.join(bodies.select(F.col("doc").alias("a"), F.col("body").alias("body_a")), "a")
         return checkpoint(whole.select("a", "b", "body_a", "body_b").mapInPandas(_verify(words, least, weighted), "a bigint, b bigint, likeness double"))
 
-    members = checkpoint(texts.select("doc", "h1", "h2"))
-    of_copies = members.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-
     def grouped(labels: DataFrame) -> DataFrame:
         found = members.join(of_copies, ["h1", "h2"]).join(labels.withColumnRenamed("node", "first"), "first", "left")
         return found.select("first", F.col("doc").alias("page_id"), F.coalesce("label", "first").alias("group_id"))
 
     if count_links:
         links = verified(_bucket_pairs(shared))
-        degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
+        degree = links.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
         return grouped(components(links)).join(degree, "first", "left").select("page_id", "group_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links")).distinct()
     tested = shared.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     links = verified(tested)
     labels = components(links)
-    # members of one bucket that are still apart: each pair once, without those tested already
-    labelled = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    apart = labelled.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).filter("low <> high and doc <> pivot").select("bucket", "doc", "label")
-    other = apart.select("bucket", F.col("doc").alias("b"), F.col("label").alias("label_b"))
-    more = apart.join(other, "bucket").filter("doc < b and label <> label_b").select(F.col("doc").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    late = verified(more)
+    late = verified(_pairs_apart(shared, labels).join(tested, ["a", "b"], "left_anti"))
     if not late.isEmpty():
         labels = components(links.unionByName(late))
     return grouped(labels).drop("first").distinct()
 
 
+def _in_blocks(shared: DataFrame, left: DataFrame) -> DataFrame:
+    """``left`` (bucket, a, ...) joined with all members (bucket, b, ...) of the same bucket; large buckets are spread over blocks."""
+    blocks = shared.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    right = shared.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks")
+    spread = left.join(blocks, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return spread.join(right, ["bucket", "block"])
+
+
 def _bucket_pairs(shared: DataFrame) -> DataFrame:
-    """All distinct pairs a < b of documents with a common bucket; large buckets are spread over several blocks."""
-    sized = shared.withColumn("blocks", F.ceil(F.count("*").over(W.partitionBy("bucket")) / BLOCK_DOCS).cast("int"))
-    left = sized.select("bucket", F.col("doc").alias("a"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    right = sized.select("bucket", F.col("doc").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return left.join(right, ["bucket", "block"]).filter("a < b").select("a", "b").distinct()
+    """All distinct pairs a < b of documents with a common bucket."""
+    return _in_blocks(shared.select("bucket", F.col("doc").alias("b")), shared.select("bucket", F.col("doc").alias("a"))).filter("a < b").select("a", "b").distinct()
+
+
+def _pairs_apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct pairs a < b of documents with a common bucket but different labels.
+
+    One of the two is no member of the bucket's most frequent label, so only those outsiders are joined with all.
+    """
+    labelled = shared.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("most.label").alias("main"))
+    apart = labelled.join(mixed, "bucket")
+    outside = apart.filter("label <> main").select("bucket", F.col("doc").alias("a"), F.col("label").alias("label_a"))
+    met = _in_blocks(apart.select("bucket", F.col("doc").alias("b"), F.col("label").alias("label_b")), outside).filter("label_a <> label_b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def grouped_pairs(groups: DataFrame) -> DataFrame:

@@ -39,6 +39,12 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_groups(pages, least_chars=1, weighted=True)
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every page that takes part in p1_found, and to how many other texts it is linked."""
+    pages = table(spark, sf_dir, "page_records").select("page_id", "body_md")
+    return duplicates.duplicate_groups(pages, words=3, least=0.6, least_chars=200)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The families of markup in each text."""
     return markup.found_families(markup.clean_texts(_texts(spark, sf_dir, header=True)))
@@ -68,19 +74,32 @@ def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("file", F.regexp_extract("path", r"part-(\d+)", 1).cast("int")).drop("path")
 
 
-def _survivor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = survivors.page_members(table(spark, sf_dir, "page_records"), _page_groups(spark, sf_dir))
-    return survivors.choose_bundles(members, survivors.page_bundles())
+def _survivor_choice(spark: SparkSession, sf_dir: str, bundles: list[survivors.Bundle]) -> DataFrame:
+    members = survivors.page_members(table(spark, sf_dir, "page_records"), _page_groups(spark, sf_dir), whole=True)
+    return survivors.choose_bundles(members, bundles, survivors.page_dependencies(), ranks=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The member that each field of a group's survivor comes from."""
-    return _survivor_choice(spark, sf_dir).select("group_id", F.col("bundle").alias("field_name"), F.col("member").alias("page_id"))
+    chosen = _survivor_choice(spark, sf_dir, [*survivors.page_bundles(), survivors.place_bundle()])
+    return chosen.filter("bundle <> 'place'").select("group_id", F.col("bundle").alias("field_name"), F.col("member").alias("page_id"))
+
+
+def p5_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member of each bundle with its place in the bundle's preferences; beyond 1 a dependency decided."""
+    chosen = _survivor_choice(spark, sf_dir, [*survivors.page_bundles(), survivors.place_bundle()])
+    return chosen.select("group_id", "bundle", F.col("member").alias("page_id"), "rank")
+
+
+def p5_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups have a bundle from another member than its most preferred one, because of a dependency."""
+    return p5_choices(spark, sf_dir).groupBy("bundle").agg(F.count("*").alias("groups"), F.count_if(F.col("rank") > 1).alias("constrained"))
 
 
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving record of each group of copies."""
-    return survivors.surviving_records(table(spark, sf_dir, "page_records"), _survivor_choice(spark, sf_dir), survivors.page_bundles())
+    """The surviving record of each group of copies, with all columns of page records."""
+    bundles = survivors.record_bundles()
+    return survivors.surviving_records(table(spark, sf_dir, "page_records"), _survivor_choice(spark, sf_dir, bundles), bundles)
 
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +159,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p1_groups": p1_groups,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
+    "p5_choices": p5_choices,
+    "p5_constrained": p5_constrained,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
     "p2_found": p2_found,
@@ -176,25 +198,49 @@ _REACH = r"""
             UNION SELECT r.root, w.b FROM reach r JOIN ways w ON w.a = r.node
         )"""
 
-ORACLE = {
-    "p1_found": _REACH + " SELECT root AS page_id_a, node AS page_id_b FROM reach WHERE root < node",
-    "p5_found": _REACH + r""", members AS (SELECT DISTINCT min(root) OVER (PARTITION BY node) AS group_id, node AS page_id FROM reach
+#: The members of the groups ranked by the preferences of each bundle.
+_RANKED = r""", members AS (SELECT DISTINCT min(root) OVER (PARTITION BY node) AS group_id, node AS page_id FROM reach
         ), looked AS (
             SELECT group_id, p.*, trim(updated_at) AS u FROM members JOIN page_records p USING (page_id)
         ), timed AS (
             SELECT *, CASE WHEN regexp_full_match(u, '-?[0-9]{9,15}') THEN u::BIGINT
                 WHEN regexp_full_match(u, '.*(Z|[+-][0-9]{2}:[0-9]{2})') THEN epoch_ms(try_cast(u AS TIMESTAMPTZ))
-                ELSE epoch_ms(try_cast(u AS TIMESTAMP)) END AS ms, length(trim(excerpt, E' \t\n\r')) AS e FROM looked
+                ELSE epoch_ms(try_cast(u AS TIMESTAMP)) END AS ms, length(trim(excerpt, E' \t\n\r')) AS e,
+                len(list_filter([title, parent_slug, category.slug, category.title], lambda x: trim(x, E' \t\n\r') <> '')) + CASE WHEN len(breadcrumb) > 0 THEN 1 ELSE 0 END AS filled
+            FROM looked
         ), ranked AS (
-            SELECT group_id, page_id, e,
+            SELECT group_id, page_id, e, url, source, section, slug,
                 row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN lower(trim(discovered_via)) = 'sidebar' THEN 0 ELSE 1 END, url, page_id) AS r1,
                 row_number() OVER (PARTITION BY group_id ORDER BY ms DESC NULLS LAST, length(body_md) DESC, page_id) AS r2,
-                row_number() OVER (PARTITION BY group_id ORDER BY e DESC NULLS LAST, page_id) AS r3
+                row_number() OVER (PARTITION BY group_id ORDER BY e DESC NULLS LAST, page_id) AS r3,
+                row_number() OVER (PARTITION BY group_id ORDER BY filled DESC, ms DESC NULLS LAST, page_id) AS r4
             FROM timed
-        )
+        )"""
+#: The member of each bundle; the place is the best one that goes with the address.
+_CHOICES = """, placed AS (
+            SELECT m.group_id, m.page_id, m.r4 FROM ranked m JOIN ranked u ON u.group_id = m.group_id AND u.r1 = 1
+            WHERE u.url IS NULL OR (m.source IS NOT DISTINCT FROM u.source AND m.section IS NOT DISTINCT FROM u.section AND m.slug IS NOT DISTINCT FROM u.slug)
+            QUALIFY row_number() OVER (PARTITION BY m.group_id ORDER BY m.r4) = 1
+        ), choices AS (
+            SELECT group_id, 'url' AS bundle, page_id, 1 AS rank FROM ranked WHERE r1 = 1
+            UNION ALL SELECT group_id, 'body_md', page_id, 1 FROM ranked WHERE r2 = 1
+            UNION ALL SELECT group_id, 'excerpt', page_id, 1 FROM ranked WHERE r3 = 1 AND e > 0
+            UNION ALL SELECT group_id, 'place', page_id, r4::INT FROM placed
+        )"""
+
+ORACLE = {
+    "p1_groups": _REACH + """, bodies AS (SELECT page_id, body_md, min(page_id) OVER (PARTITION BY body_md) AS first FROM page_records WHERE page_id IN (SELECT page_id FROM docs)
+        ), far AS (SELECT a, b FROM links JOIN bodies x ON x.page_id = a JOIN bodies y ON y.page_id = b WHERE x.body_md <> y.body_md AND x.page_id = x.first AND y.page_id = y.first
+        ), linked AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM far UNION ALL SELECT b FROM far) GROUP BY 1)
+        SELECT page_id, coalesce((SELECT min(root) FROM reach r WHERE r.node = page_id), page_id) AS group_id, coalesce(n, 0) AS links
+        FROM bodies LEFT JOIN linked ON linked.node = bodies.first""",
+    "p1_found": _REACH + " SELECT root AS page_id_a, node AS page_id_b FROM reach WHERE root < node",
+    "p5_found": _REACH + _RANKED + """
         SELECT group_id, 'url' AS field_name, page_id FROM ranked WHERE r1 = 1
         UNION ALL SELECT group_id, 'body_md', page_id FROM ranked WHERE r2 = 1
         UNION ALL SELECT group_id, 'excerpt', page_id FROM ranked WHERE r3 = 1 AND e > 0""",
+    "p5_choices": _REACH + _RANKED + _CHOICES + " SELECT * FROM choices",
+    "p5_constrained": _REACH + _RANKED + _CHOICES + " SELECT bundle, count(*) AS groups, count(*) FILTER (rank > 1) AS constrained FROM choices GROUP BY 1",
     "p6_found": """
         WITH usable AS (
             SELECT vec_id, embedding::DOUBLE[64] AS v FROM chunk_vectors

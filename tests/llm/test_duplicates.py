@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -121,3 +122,26 @@ def test_banding_meets_its_miss_rate():
     for least in (0.5, 0.6, 0.8, 0.9):
         bands, rows = dup.banding(least)
         assert (1 - least**rows) ** bands <= dup.MISS and bands * rows <= dup.COMPONENTS
+
+
+def test_sketches_keep_every_pair_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for least in (0.6, 0.8):
+        n, sets = 240, []
+        both = math.ceil(n * 2 * least / (1 + least))  # two sets of n with this likeness
+        for _ in range(150):
+            x = rng.integers(1, 2**62, 2 * n - both).astype(np.uint64)
+            sets += [np.unique(x[:n]), np.unique(x[n - both :])]
+        sketch = dup.prob_min_hash(sets, None, dup.COMPONENTS).astype(np.uint8)
+        agree = (sketch[::2] == sketch[1::2]).sum(axis=1)
+        assert agree.min() >= dup.least_agreement(least, dup.COMPONENTS) > 0.3 * dup.COMPONENTS * least
+
+
+def test_an_outsider_meets_all_members_of_a_large_bucket(spark, monkeypatch):
+    """Its pairs grow with the bucket, not with the bucket's square."""
+    monkeypatch.setattr(dup, "BLOCK_DOCS", 16)
+    shared = spark.createDataFrame([(7, i) for i in range(200)] + [(8, 0), (8, 1)], "bucket bigint, doc bigint")
+    labels = spark.createDataFrame([(i, 0) for i in range(198)], "node bigint, label bigint")
+    got = {tuple(r) for r in dup._pairs_apart(shared, labels).collect()}
+    assert got == {(i, j) for j in (198, 199) for i in range(j)}
+    assert {tuple(r) for r in dup._bucket_pairs(shared).collect()} == {(i, j) for j in range(200) for i in range(j)}

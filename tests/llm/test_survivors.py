@@ -88,3 +88,23 @@ def test_no_groups(spark):
     pages = spark.createDataFrame([], PAGES)
     groups = spark.createDataFrame([], "page_id bigint, group_id bigint")
     assert sv.choose_bundles(sv.page_members(pages, groups), sv.page_bundles()).count() == 0
+
+
+def test_the_place_goes_with_the_address(spark):
+    """The fullest place is another member's, but the address brings its own site and slug."""
+    rows = [(1, 1, "u1", "a", "s", "x", 5), (1, 2, "u2", "b", "s", "x", 1), (1, 3, "u3", "b", "s", "x", 3), (1, 4, "u4", "b", "t", "x", 9), (2, 7, None, "a", "s", "x", 1), (2, 8, None, "c", "s", "x", 4)]
+    members = spark.createDataFrame(rows, "group_id bigint, member bigint, url string, source string, section string, slug string, filled int")
+    bundles = [sv.Bundle("url", ("url",), (F.asc_nulls_last(F.when(F.col("member") == 2, "0").otherwise(F.col("url"))),), weight=sv.CHOSEN), sv.Bundle("place", ("source",), (F.desc("filled"),))]
+    chosen = sv.choose_bundles(members, bundles, sv.page_dependencies(), ranks=True)
+    assert {tuple(r) for r in chosen.collect()} == {(1, "url", 2, 1), (1, "place", 3, 3), (2, "url", 7, 1), (2, "place", 8, 1)}
+
+
+def test_a_bound_bundle_in_a_hot_group(spark):
+    """Thousands of members with places of their own: one candidate is enough, without a deeper search."""
+    rows = [(1, i, f"u{i:05d}", "a", "s", f"x{i % 900}", 5_000 - i) for i in range(5_000)]
+    members = spark.createDataFrame(rows, "group_id bigint, member bigint, url string, source string, section string, slug string, filled int")
+    bundles = [sv.Bundle("url", ("url",), (F.desc("url"),), weight=sv.CHOSEN), sv.Bundle("place", ("source",), (F.desc("filled"),))]
+    gathered = sv._candidates(members, bundles, sv.page_dependencies(), ["section", "slug", "source", "url"], sv.DEPTH).first()
+    assert len(gathered["candidates"]) <= 2 * sv.DEPTH + 2
+    got = {r["bundle"]: (r["member"], r["rank"]) for r in sv.choose_bundles(members, bundles, sv.page_dependencies(), ranks=True).collect()}
+    assert got == {"url": (4_999, 1), "place": (499, 500)}
