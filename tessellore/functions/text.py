@@ -81,6 +81,11 @@ def first_line(text: Column, most: int = 200) -> Column:
     return F.substring(F.element_at(F.split(strip(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), 1), 1, most)
 
 
+def iso_timestamp(at: Column) -> Column:
+    """A time as ISO 8601 in UTC, to seconds."""
+    return F.concat(F.date_format(at.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def labelled_lines(parts: Sequence[tuple[str, Column]]) -> Column:
     """Lines ``label: a, b`` of those array columns that hold something."""
     lines = [F.when(F.size(column) > 0, F.concat(F.lit(f"{label}: "), F.array_join(column, ", "))) for label, column in parts]
@@ -89,5 +94,5 @@ def labelled_lines(parts: Sequence[tuple[str, Column]]) -> Column:
 
 __all__ = [
     "tokens", "question_tokens", "or_else", "joined_breadcrumb", "chunk_header", "rewrite_body", "url_cache_key",
-    "preview", "flat_description", "first_line", "labelled_lines", "strip", "is_blank",
+    "preview", "flat_description", "first_line", "iso_timestamp", "labelled_lines", "strip", "is_blank",
 ]

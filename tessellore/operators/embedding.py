@@ -17,12 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the embedding service.
 RETRY_STATUS = (429, 500, 502, 503, 504)
-ATTEMPTS, MOST_PAUSE, API_BATCH, LOCAL_BATCH = 6, 30.0, 32, 8
+ATTEMPTS, MOST_PAUSE, API_BATCH = 6, 30.0, 32
 PASSAGE, QUESTION = "retrieval.passage", "retrieval.query"
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -85,6 +85,19 @@ def http_encoder(url: str, key: str, model: str, dimension: int, task: str = PAS
     return make
 
 
+def encoder_for(backend: str, **settings) -> Callable[[], Encoder]:
+    """The encoder of a backend by its name; an unknown one is refused at once."""
+    known = {"hashing": hashing_encoder, "http": http_encoder}
+    if backend not in known:
+        raise ValueError(f"unknown embedding backend {backend!r}; there are {', '.join(sorted(known))}")
+    return known[backend](**settings)
+
+
+def embed_question(make: Callable[[], Encoder], question: str) -> list[float]:
+    """The vector of one question."""
+    return [float(x) for x in make()([question])[0]]
+
+
 def _encode(make: Callable[[], Encoder], tag: str, batch: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make()
@@ -106,3 +119,24 @@ def embed(texts: DataFrame, make: Callable[[], Encoder], tag: str, text_col: str
     if stored is not None:
         rows = rows.join(stored.filter(F.col("model_tag") == tag).select("text_hash"), "text_hash", "left_anti")
     return rows.mapInPandas(_encode(make, tag, batch), VECTORS)
+
+
+def embed_into(spark: SparkSession, path: str, texts: DataFrame, make: Callable[[], Encoder], tag: str, text_col: str = "page_content", rounds: int = 1) -> DataFrame:
+    """Add the vectors that the table at ``path`` lacks, in rounds that are committed one by one, and read it.
+
+    An interrupted call loses the round it was in; the next call goes on from there. A round is the texts
+    whose hash falls into its share.
+    """
+    for number in range(rounds):
+        there = read_vectors(spark, path)
+        part = texts.filter(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == number)
+        embed(part, make, tag, text_col, there).write.mode("append").parquet(path)
+    return read_vectors(spark, path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors stored at ``path``; none where nothing is stored yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], VECTORS)
+    return spark.read.schema(VECTORS).parquet(path)

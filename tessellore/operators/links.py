@@ -7,11 +7,10 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellore.functions.text import KINDS, SEGMENTS
-from tessellore.runtime import checkpoint
+from tessellore.runtime import broadcast_if_small, checkpoint
 
 # Link patterns and the shape of a slug.
 MARKDOWN_LINK = r"(?<!!)\[(?:[^\]]*?)\]\(([^)\s]+)\)"
@@ -76,35 +75,31 @@ def new_links(links: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.groupBy("url").agg(F.min(F.struct("source_url", "position", "kind", "slug")).alias("first")).select("url", "first.kind", "first.slug", F.col("first.source_url").alias("found_on"))
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], most_pages: int = MOST_PAGES, most_rounds: int = 50) -> DataFrame:
-    """All pages reachable from the seeds (url): breadth first in rounds, each page fetched once.
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], most_pages: int | None = MOST_PAGES, limit: int | None = None) -> DataFrame:
+    """All pages reachable from the seeds (url): breadth first in rounds until no new page is found, each fetched once.
 
     ``fetch`` turns rows of url into pages with source_url, body, html, base_url, section and is_page;
-    links are only followed from rows that gave a page. The frontier stops growing at ``most_pages``.
+    links are only followed from rows that gave a page. The frontier stops growing at ``most_pages`` (None:
+    never). With ``limit`` only that many seeds are fetched and no links are followed.
     """
+    if limit is not None:
+        return seeds.select("url").distinct().orderBy("url").limit(limit).select("url", F.lit(0).alias("round"))
     known = checkpoint(seeds.select("url", F.lit(0).alias("round")).dropDuplicates(["url"]))
-    todo, count = known, known.count()
-    for number in range(1, most_rounds + 1):
-        pages = fetch(todo.select("url"))
-        found = new_links(internal_links(pages.filter("is_page")), known)
-        room = most_pages - count
-        if room <= 0:
+    todo, count, number = known, known.count(), 0
+    while most_pages is None or count < most_pages:
+        number += 1
+        found = new_links(internal_links(fetch(todo.select("url")).filter("is_page")), known)
+        if most_pages is not None:
+            found = found.orderBy("found_on", "url").limit(most_pages - count)
+        todo = checkpoint(found.select("url", F.lit(number).alias("round")))
+        if (fresh := todo.count()) == 0:
             break
-        todo = checkpoint(found.orderBy("found_on", "url").limit(room).select("url", F.lit(number).alias("round")))
-        if todo.isEmpty():
-            break
-        known, count = checkpoint(known.unionByName(todo)), count + todo.count()
+        known, count = checkpoint(known.unionByName(todo)), count + fresh
     return known
 
 
 def page_links(records: DataFrame, sites: DataFrame) -> DataFrame:
     """The internal links of page records: their bodies, resolved against their own address."""
     known = sites.select(F.col("site_key").alias("source"), "base_url", F.col("section_prefix").alias("section"))
-    rows = records.select("page_id", "source", F.col("url").alias("source_url"), F.col("body_md").alias("body")).join(F.broadcast(known), "source")  # a fixed table of sites
+    rows = records.select("page_id", "source", F.col("url").alias("source_url"), F.col("body_md").alias("body")).join(broadcast_if_small(known), "source")
     return internal_links(rows.withColumn("html", F.lit(None).cast("string")))
-
-
-def in_degree(links: DataFrame) -> DataFrame:
-    """How many pages point to each target, with its rank among those of its kind."""
-    counted = links.groupBy("url", "kind").agg(F.countDistinct("source_url").alias("pages"))
-    return counted.withColumn("rank", F.rank().over(W.partitionBy("kind").orderBy(F.desc("pages")))).filter("rank <= 20")

@@ -14,6 +14,7 @@ DROPPED_TYPE = "custompage"
 SPARSE_CHARS = 200
 SMOKE_CHARS = 500
 ERROR_CHARS = 300
+FINGERPRINT_BLOCK = 65_536
 LOGIN_MARKS = ("<title>Login</title>", 'class="loginForm"')
 PROPS = r'(?s)<script id="ssr-props"[^>]*>(.*?)</script>'
 
@@ -23,32 +24,34 @@ def indexable(records: DataFrame) -> DataFrame:
     return records.filter(~F.col("type").eqNullSafe(DROPPED_TYPE))
 
 
-def dedupe_order() -> list[Column]:
-    """Sidebar pages first, then the longer body, then the smaller address."""
-    via = F.coalesce(F.col("discovered_via"), F.lit(""))
-    return [(via != "sidebar").asc(), F.desc(F.length(F.coalesce("body_md", F.lit("")))), F.asc(F.coalesce("url", F.lit(""))), F.asc("page_id")]
+def copies_by_hash(records: DataFrame) -> DataFrame:
+    """body_hash, apart and the survivor of each distinct body: an aggregate of keys that combines before the shuffle.
 
+    Blank bodies are never copies of each other: they are kept apart by their own ids.
+    """
+    return _hashed(records).groupBy("body_hash", "apart").agg(F.min(F.struct(*_order_keys())).alias("best")).select("body_hash", "apart", F.col("best.page_id").alias("kept_id"))
 
-def ranked_copies(records: DataFrame) -> DataFrame:
-    """Each record with the hash of its raw body, its place among the copies and the id of the survivor.
 
-    Blank bodies are never copies of each other: they are kept apart by their own ids, so that no window
-    partition holds them all.
-    """
-    blank = is_blank(F.col("body_md"))
-    hashed = records.withColumn("body_hash", F.sha2(F.coalesce("body_md", F.lit("")), 256)).withColumn("apart", F.when(blank, F.col("page_id")))
-    copies = W.partitionBy("body_hash", "apart").orderBy(*dedupe_order())
-    return hashed.withColumn("place", F.row_number().over(copies)).withColumn("kept_id", F.first("page_id").over(copies)).drop("apart")
+def _order_keys() -> list[Column]:
+    via, body, url = (F.coalesce(F.col(c), F.lit("")) for c in ("discovered_via", "body_md", "url"))
+    return [(via != "sidebar").alias("other"), (-F.length(body)).alias("shorter"), url.alias("url"), F.col("page_id")]
+
+
+def _hashed(records: DataFrame) -> DataFrame:
+    return records.withColumn("body_hash", F.sha2(F.coalesce("body_md", F.lit("")), 256)).withColumn("apart", F.when(is_blank(F.col("body_md")), F.col("page_id")))
 
 
 def deduplicated(records: DataFrame) -> DataFrame:
-    """One record per distinct body."""
-    return ranked_copies(records).filter("place = 1").drop("place", "kept_id")
+    """One record per distinct body: the records of the surviving ids, which are joined to their own rows only."""
+    kept = copies_by_hash(records).select(F.col("kept_id").alias("page_id"), "body_hash")
+    return records.join(kept, "page_id")
 
 
 def dropped_copies(records: DataFrame) -> DataFrame:
     """page_id of every dropped copy and of the record kept for it."""
-    return ranked_copies(records).filter("place > 1").select("page_id", "kept_id", "body_hash")
+    keys = _hashed(records).select("page_id", "body_hash", "apart").filter("apart IS NULL")
+    kept = copies_by_hash(records).filter("apart IS NULL").drop("apart")
+    return keys.join(kept, "body_hash").filter("page_id <> kept_id").select("page_id", "kept_id", "body_hash")
 
 
 def has_paths(oas: Column) -> Column:
@@ -110,12 +113,23 @@ def text_fingerprints(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("text_hash"))
 
 
-def corpus_fingerprint(rows: DataFrame, text_col: str) -> DataFrame:
-    """One hash for the multiset of texts: partial sums of the texts' hashes, so no task sees the corpus."""
-    word = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")
-    hashed = rows.select(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("h"))
-    sums = hashed.agg(F.count("*").alias("texts"), F.coalesce(F.sum(word(1)), F.lit(0)).cast("string").alias("a"), F.coalesce(F.sum(word(16)), F.lit(0)).cast("string").alias("b"))
-    return sums.select("texts", F.sha2(F.concat_ws("|", F.col("texts").cast("string"), "a", "b"), 256).alias("fingerprint"))
+def corpus_fingerprint(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One hash for the sequence of texts in the order of their ids.
+
+    Hashes of texts are put together in blocks of consecutive ids, the blocks' hashes in their order, so a
+    task sees one block at a time; any change of a text, an id or the order changes it. Repeated ids are
+    ordered by hash.
+    """
+    hashed = rows.select((F.floor(F.col(id_col) / FINGERPRINT_BLOCK)).alias("block"), F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("h")).alias("x"))
+    lines = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: F.concat_ws(":", x["id"].cast("string"), x["h"])), "\n")
+    blocks = hashed.groupBy("block").agg(F.count("*").alias("n"), F.sha2(lines("x"), 256).alias("h"))  # FINGERPRINT_BLOCK ids at most
+    blocks = blocks.select("n", F.struct(F.col("block").alias("id"), "h").alias("x"))
+    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("texts"), F.sha2(lines("x"), 256).alias("fingerprint"))
+
+
+def dropped_preview(records: DataFrame, n: int = 5) -> DataFrame:
+    """The first dropped copies, as a report shows them."""
+    return dropped_copies(records).orderBy("page_id").limit(n)
 
 
 def sentinels(records: DataFrame, slugs: list[str]) -> DataFrame:

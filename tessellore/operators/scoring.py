@@ -56,30 +56,50 @@ def raw_idf(docs: Column, df: Column) -> Column:
     return F.ln(docs - df + F.lit(0.5)) - F.ln(df + F.lit(0.5))
 
 
-def lexical_index(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "page_content") -> LexicalIndex:
-    """The index of a corpus; ids may repeat, each row is a document."""
-    rows = document_tokens(docs, id_col, text_col)
-    postings = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "dl", F.explode("tokens").alias("term"))
-    postings = postings.groupBy("term", "row", "id", "dl").agg(F.count("*").alias("tf")).select("term", "row", "id", "tf", "dl")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    sizes = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("tokens"))
+def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, row, id, tf, dl; ids may repeat, each row is a document."""
+    rows = document_tokens(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    return rows.select("row", "id", "dl", F.explode("tokens").alias("term")).groupBy("term", "row", "id", "dl").agg(F.count("*").alias("tf")).select("term", "row", "id", "tf", "dl")
+
+
+def term_statistics(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+def corpus_statistics(terms: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: docs, tokens, avg_idf, terms, avgdl; ``sizes`` is one row of docs and tokens."""
     mean = terms.crossJoin(F.broadcast(sizes)).agg(F.avg(raw_idf(F.col("docs"), F.col("df"))).alias("avg_idf"), F.count("*").alias("terms"))  # one row of sizes
-    corpus = sizes.crossJoin(mean).withColumn("avgdl", F.try_divide(F.col("tokens").cast("double"), F.col("docs")))  # one row each
-    return LexicalIndex(postings, terms, corpus)
+    return sizes.crossJoin(mean).withColumn("avgdl", F.try_divide(F.col("tokens").cast("double"), F.col("docs")))  # one row each
+
+
+def lexical_index(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "page_content") -> LexicalIndex:
+    """The index of a corpus that is not stored; `store.write_lexical` tokenizes only once."""
+    postings = postings_of(docs, id_col, text_col)
+    terms = term_statistics(postings)
+    sizes = document_tokens(docs, id_col, text_col).agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("tokens"))
+    return LexicalIndex(postings, terms, corpus_statistics(terms, sizes))
+
+
+def term_weights(index: LexicalIndex, names: list[str]) -> DataFrame:
+    """term, idf, avgdl of the named terms; frequent terms weigh a share of the mean."""
+    terms = index.terms.filter(F.col("term").isin(names)).crossJoin(F.broadcast(index.corpus))  # one row of statistics
+    raw = raw_idf(F.col("docs"), F.col("df"))
+    return terms.select("term", "avgdl", F.when(raw < 0, F.lit(EPSILON) * F.col("avg_idf")).otherwise(raw).alias("idf"))
+
+
+def term_part() -> Column:
+    """What one term adds to the score of a row."""
+    return F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
 
 
 def lexical_scores(index: LexicalIndex, question: str) -> DataFrame:
     """id, score of every row that has a term of the question."""
     wanted = Counter(T.question_tokens(question))
-    spark = index.postings.sparkSession
-    query = spark.createDataFrame(sorted(wanted.items()), "term string, qtf int") if wanted else spark.createDataFrame([], "term string, qtf int")
-    names = list(wanted)  # a literal list reaches the scan as a filter
-    terms = index.terms.filter(F.col("term").isin(names)).join(F.broadcast(query), "term").crossJoin(F.broadcast(index.corpus))
-    raw = raw_idf(F.col("docs"), F.col("df"))
-    weights = terms.select("term", "qtf", "avgdl", F.when(raw < 0, F.lit(EPSILON) * F.col("avg_idf")).otherwise(raw).alias("idf"))
+    query = index.postings.sparkSession.createDataFrame(sorted(wanted.items()), "term string, qtf int")
+    names = sorted(wanted)  # a literal list reaches the scan as a filter
+    weights = term_weights(index, names).join(F.broadcast(query), "term")
     hits = index.postings.filter(F.col("term").isin(names)).join(F.broadcast(weights), "term")  # at most the question's terms
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("row", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).select("row", "id", "score")
+    return hits.groupBy("row", "id").agg(F.round(F.sum(F.col("qtf") * term_part()), DIGITS).alias("score")).select("row", "id", "score")
 
 
 def top(scores: DataFrame, n: int) -> DataFrame:
@@ -116,19 +136,24 @@ def dense_top(vectors: DataFrame, query: Sequence[float], n: int = RRF_DEPTH) ->
     return top(scored, n).select("id", "score", "rank")
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, k: int = RETRIEVAL_K, rrf_k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion: id, score, sources, final rank. An id that occurs twice in a ranker adds twice."""
-    both = dense.select("id", "rank", F.lit("semantic").alias("source")).unionByName(lexical.select("id", "rank", F.lit("bm25").alias("source")))
+def fuse_all(dense: DataFrame, lexical: DataFrame, k: int = RETRIEVAL_K, rrf_k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion for each question: id, score, sources, final rank. An id that occurs twice in a ranker adds twice."""
+    both = dense.select("question", "id", "rank", F.lit("semantic").alias("source")).unionByName(lexical.select("question", "id", "rank", F.lit("bm25").alias("source")))
     first = lambda name: F.min(F.when(F.col("source") == name, F.col("rank")))
-    fused = both.groupBy("id").agg(
+    fused = both.groupBy("question", "id").agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col("rank"))), 9).alias("score"),
         first("semantic").alias("semantic_rank"),
         first("bm25").alias("bm25_rank"),
     )
-    order = (F.desc("score"), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("bm25_rank"), F.asc("id"))
+    order = W.partitionBy("question").orderBy(F.desc("score"), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("bm25_rank"), F.asc("id"))
     sources = F.array_join(F.array_compact(F.array(F.when(F.col("semantic_rank").isNotNull(), "semantic"), F.when(F.col("bm25_rank").isNotNull(), "bm25"))), ",")
-    best = fused.orderBy(*order).limit(k)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("sources", sources)
+    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("sources", sources)
+
+
+def fuse(dense: DataFrame, lexical: DataFrame, k: int = RETRIEVAL_K, rrf_k: int = RRF_K) -> DataFrame:
+    """`fuse_all` for the rankings of a single question."""
+    one = F.lit(0).alias("question")
+    return fuse_all(dense.select(one, "id", "rank"), lexical.select(one, "id", "rank"), k, rrf_k).drop("question")
 
 
 def gate(index: LexicalIndex, entries: DataFrame, question: str, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:

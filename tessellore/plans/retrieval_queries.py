@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellore.functions import text as T
-from tessellore.operators import records, scoring
-from tessellore.runtime import strip, table
+from tessellore.operators import records, scoring, store
+from tessellore.runtime import broadcast_if_small, ensure_checkpoint_dir, strip, table
 
 QUESTION = "rotated signature of the webhook with retryCount 153 of the webhook"
 ENDPOINT_QUESTION = "list rate locks of the sandbox"
 DIMENSION = 64
+QUESTIONS = [QUESTION, ENDPOINT_QUESTION, "what is the overview", "?!"]
 SENTINELS = ["overview", "welcome", "authentication", "pagination", "webhooks"]
 
 
@@ -23,45 +24,51 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "page_records")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> scoring.LexicalIndex:
-    return scoring.lexical_index(chunks(spark, sf_dir), "chunk_id", "page_content")
+_BUILT: dict[tuple[str, str], str] = {}
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "chunk_vectors").filter(F.col("chunk_id").isNotNull())
-    return scoring.unit_vectors(rows, "chunk_id", "embedding", DIMENSION)
+def built(spark: SparkSession, sf_dir: str) -> store.Store:
+    """The store of the tables, built in the shared folder when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = f"{ensure_checkpoint_dir(spark)}/store-{len(_BUILT)}"
+        rows = table(spark, sf_dir, "chunk_vectors").filter(F.col("chunk_id").isNotNull())
+        stats = records.build_stats(pages(spark, sf_dir), chunks(spark, sf_dir))
+        store.write_store(path, chunks(spark, sf_dir), rows, DIMENSION, stats, _endpoint_entries(spark, sf_dir))
+        _BUILT[key] = path
+    return store.read_store(spark, _BUILT[key])
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    """The question's vector: here the usable one of smallest id, one row on the driver."""
-    rows = scoring.unit_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "embedding", DIMENSION)
-    return rows.orderBy("id").limit(1).collect()[0]["vec"]
+def question(spark: SparkSession, sf_dir: str, text: str = QUESTION) -> store.Question:
+    """A question with a vector of the tables' own model, which is not at hand: the usable one of smallest id stands for it."""
+    rows = table(spark, sf_dir, "chunk_vectors").filter(scoring.usable_vector(F.col("embedding"), DIMENSION))
+    return store.Question(text, rows.orderBy("vec_id").limit(1).collect()[0]["embedding"])
 
 
 def term_stats(spark, sf_dir):
-    return _index(spark, sf_dir).terms
+    return built(spark, sf_dir).lexical.terms
 
 
 def corpus_stats(spark, sf_dir):
-    return _index(spark, sf_dir).corpus.select("docs", "tokens", "terms", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
+    return built(spark, sf_dir).lexical.corpus.select("docs", "tokens", "terms", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
 def bm25_topn(spark, sf_dir):
-    return scoring.lexical_top(_index(spark, sf_dir), QUESTION).withColumnRenamed("id", "chunk_id")
+    return store.lexical_hits(built(spark, sf_dir).lexical, [store.Question(QUESTION)]).select(F.col("id").alias("chunk_id"), "score", "rank")
 
 
-def dense_topn(spark, sf_dir):
-    return scoring.dense_top(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
+def bm25_batch(spark, sf_dir):
+    """Several questions in one pass."""
+    hits = store.lexical_hits(built(spark, sf_dir).lexical, [store.Question(q) for q in QUESTIONS])
+    return hits.select("question", F.col("id").alias("chunk_id"), "score", "rank")
 
 
-def fused_hits(spark, sf_dir, k=scoring.RETRIEVAL_K):
-    dense = scoring.dense_top(_vectors(spark, sf_dir), _query_vector(spark, sf_dir))
-    return scoring.fuse(dense, scoring.lexical_top(_index(spark, sf_dir), QUESTION), k)
+def dense_topn(spark, sf_dir):
+    return store.dense_hits(built(spark, sf_dir).vectors, [question(spark, sf_dir)]).select(F.col("id").alias("chunk_id"), "score", "rank")
 
 
 def hits_with_payload(spark, sf_dir):
-    payload = chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "title", "url", "kind", "breadcrumb", "page_content")
-    return payload.join(F.broadcast(fused_hits(spark, sf_dir)), "id")  # five rows
+    return store.retrieve(built(spark, sf_dir), [question(spark, sf_dir)])
 
 
 def rrf_hybrid(spark, sf_dir):
@@ -69,17 +76,43 @@ def rrf_hybrid(spark, sf_dir):
     return found.select(F.col("id").alias("chunk_id"), "rank", "score", "sources", "title", "url", "kind", T.preview(F.col("page_content")).alias("preview"))
 
 
+def retrieve_words(spark, sf_dir):
+    """A plain question without a vector: the lexical ranking alone is fused."""
+    found = store.retrieve(built(spark, sf_dir), ENDPOINT_QUESTION, 3)
+    return found.select(F.col("id").alias("chunk_id"), "rank", "score", "sources")
+
+
+def stored_payload(spark, sf_dir):
+    """The payload that hits are joined to, read back from the store."""
+    return built(spark, sf_dir).payload.select(F.col("id").alias("chunk_id"), F.sha2(F.coalesce("page_content", F.lit("")), 256).alias("text_hash"), "url", "title", "chunk_index")
+
+
+def stored_vectors(spark, sf_dir):
+    """The vectors of the store: how many, and that all have length one."""
+    packed = built(spark, sf_dir).vectors
+    return packed.agg(F.count("*").alias("vectors"), F.countDistinct("id").alias("chunks"), F.min(F.length("packed")).alias("bytes"))
+
+
+def stored_stats(spark, sf_dir):
+    """The build counters read back from the store's JSON."""
+    built(spark, sf_dir)
+    schema = "records_loaded bigint, records_deduped bigint, chunks bigint, smallest int, median int, p95 int, largest int"
+    return spark.read.schema(schema).json(f"{_BUILT[spark.sparkContext.applicationId, sf_dir]}/stats")
+
+
 def _endpoint_entries(spark, sf_dir):
     """Reference pages as endpoints: what is searched is title, address and excerpt."""
     searched = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("excerpt", F.lit("")))
-    return pages(spark, sf_dir).filter("kind = 'reference'").select("page_id", searched.alias("searched"))
+    return pages(spark, sf_dir).filter("kind = 'reference'").select(F.col("page_id").alias("id"), searched.alias("searched"), "title", "url")
 
 
 def gated_endpoints(spark, sf_dir):
-    entries = _endpoint_entries(spark, sf_dir)
-    index = scoring.lexical_index(entries, "page_id", "searched")
-    found = scoring.gate(index, entries.select(F.col("page_id").alias("id"), T.tokens(F.col("searched")).alias("tokens")), ENDPOINT_QUESTION)
-    return found.withColumnRenamed("id", "page_id")
+    return store.gated(built(spark, sf_dir), ENDPOINT_QUESTION).select(F.col("id").alias("page_id"), "score", "overlap", "place")
+
+
+def endpoint_projection(spark, sf_dir):
+    """Gated endpoints as a response lists them."""
+    return store.gated(built(spark, sf_dir), ENDPOINT_QUESTION).select("place", F.coalesce("title", F.lit("")).alias("name"), F.col("url").alias("path"))
 
 
 def dedupe_content(spark, sf_dir):
@@ -123,7 +156,22 @@ def text_fingerprints(spark, sf_dir):
 
 
 def corpus_fingerprint(spark, sf_dir):
-    return records.corpus_fingerprint(chunks(spark, sf_dir), "page_content")
+    return records.corpus_fingerprint(chunks(spark, sf_dir), "chunk_id", "page_content")
+
+
+def dropped_preview(spark, sf_dir):
+    return records.dropped_preview(records.indexable(pages(spark, sf_dir)))
+
+
+def fetch_stamps(spark, sf_dir):
+    """First and last fetch of each kind, as ISO timestamps."""
+    stamped = table(spark, sf_dir, "crawl_manifest").groupBy(T.or_else(F.col("kind"), F.lit("other")).alias("kind")).agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b"))
+    return stamped.select("kind", T.iso_timestamp(F.col("a")).alias("first"), T.iso_timestamp(F.col("b")).alias("last"))
+
+
+def table_cells(spark, sf_dir):
+    """Excerpts as cells of a table, and their first lines."""
+    return pages(spark, sf_dir).filter("excerpt IS NOT NULL").select("page_id", T.flat_description(F.col("excerpt")).alias("cell"))
 
 
 def sentinel_smoke(spark, sf_dir):
@@ -145,14 +193,15 @@ def url_cache_paths(spark, sf_dir):
 
 def rewrite_markdown(spark, sf_dir):
     sites = table(spark, sf_dir, "doc_sites").select(F.col("site_key").alias("source"), "base_url", "section_prefix")
-    rewritten = pages(spark, sf_dir).join(F.broadcast(sites), "source")  # a fixed table of six sites
+    rewritten = pages(spark, sf_dir).join(broadcast_if_small(sites), "source")
     out = T.rewrite_body(F.col("body_md"), F.col("base_url"), F.col("section_prefix"))
     return rewritten.select("page_id", F.sha2(out, 256).alias("body_hash"), F.length(out).alias("chars"))
 
 
 def pending_embeddings(spark, sf_dir):
     """Chunks with text for which no usable vector is stored yet."""
-    done = _vectors(spark, sf_dir).select(F.col("id").alias("chunk_id"))
+    usable = table(spark, sf_dir, "chunk_vectors").filter(scoring.usable_vector(F.col("embedding"), DIMENSION))
+    done = usable.filter(F.col("chunk_id").isNotNull()).select("chunk_id")
     todo = chunks(spark, sf_dir).filter(F.length(strip(F.coalesce("page_content", F.lit("")))) > 0)
     return todo.join(done, "chunk_id", "left_anti").select("chunk_id")
 
@@ -163,9 +212,9 @@ def category_summary(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    term_stats, corpus_stats, bm25_topn, dense_topn, rrf_hybrid, gated_endpoints, dedupe_content, dropped_dups, filter_null_safe, sparse_body_route,
+    term_stats, corpus_stats, bm25_topn, bm25_batch, dense_topn, rrf_hybrid, retrieve_words, stored_payload, stored_vectors, stored_stats, gated_endpoints, endpoint_projection, dedupe_content, dropped_dups, filter_null_safe, sparse_body_route,
     chunk_size_stats, kind_counts, distinct_kinds, manifest_counts, manifest_latest, text_fingerprints, corpus_fingerprint, sentinel_smoke, build_stats,
-    header_format, url_cache_paths, rewrite_markdown, pending_embeddings, category_summary,
+    dropped_preview, fetch_stamps, table_cells, header_format, url_cache_paths, rewrite_markdown, pending_embeddings, category_summary,
 )}
 
 _TOKENS = r"list_transform(regexp_extract_all(coalesce({text}, ''), '[A-Za-z][A-Za-z0-9_]*|\p{{Nd}}+'), lambda t: lower(t))"
@@ -225,18 +274,44 @@ _SIZE_STATS = (
     "SELECT count(*) AS chunks, min(size)::INT AS smallest, max(CASE WHEN i = n // 2 THEN size END)::INT AS median, max(CASE WHEN i = floor(n * 0.95::DOUBLE) THEN size END)::INT AS p95, max(size)::INT AS largest FROM sizes"
 )
 
+def _batch_sql() -> str:
+    parts = []
+    for i, q in enumerate(QUESTIONS):
+        if T.question_tokens(q):
+            scores = _scores_sql(q, id="chunk_id", text="page_content", source="chunks")
+            parts.append(f"SELECT * FROM (WITH {scores} SELECT {i} AS question, id AS chunk_id, score, (row_number() OVER (ORDER BY score DESC, id))::INT AS rank FROM scores WHERE score > 0 ORDER BY score DESC, id LIMIT 20)")
+    return " UNION ALL ".join(parts)
+
+
+_GATED = (
+    "entries AS (SELECT page_id, concat_ws(chr(10), coalesce(title, ''), coalesce(url, ''), coalesce(excerpt, '')) AS searched FROM page_records WHERE kind = 'reference'), "
+    + _scores_sql(ENDPOINT_QUESTION, id="page_id", text="searched", source="entries")
+    + ", best AS (SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 5), "
+    "kept AS (SELECT b.id, b.score, len(list_intersect(d.tokens, (SELECT list(term) FROM query)))::DOUBLE / (SELECT count(*) FROM query) AS overlap FROM best b JOIN docs d ON d.id = b.id WHERE b.score > 0), "
+    "placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place, lead(score) OVER (ORDER BY score DESC, id) AS second FROM kept WHERE overlap >= 0.3), "
+    "gated AS (SELECT id AS page_id, score, round(overlap, 6) AS overlap, place::INT AS place FROM placed WHERE place = 1 OR place <= CASE WHEN (SELECT second IS NULL OR score / second >= 2.0 FROM placed WHERE place = 1) THEN 1 ELSE 3 END)"
+)
+_PLAIN = _scores_sql(ENDPOINT_QUESTION, id="chunk_id", text="page_content", source="chunks")
+_BUILD_STATS = f"WITH {_SIZES}, counters AS (SELECT count(*) AS records_loaded, count(DISTINCT CASE WHEN NOT ({_BLANK}) THEN sha256(body_md) END) + count(*) FILTER ({_BLANK}) AS records_deduped FROM page_records WHERE type IS DISTINCT FROM 'custompage'), stats AS ({_SIZE_STATS}) SELECT * FROM counters, stats"
+
 ORACLE = {
+    "bm25_batch": _batch_sql(),
+    "retrieve_words": f"WITH {_PLAIN}, best AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM scores WHERE score > 0) SELECT id AS chunk_id, r::INT AS rank, round(1.0::DOUBLE / (60 + r), 9) AS score, 'bm25' AS sources FROM best WHERE r <= 3",
+    "stored_payload": "SELECT chunk_id, sha256(coalesce(page_content, '')) AS text_hash, url, title, chunk_index FROM chunks",
+    "stored_vectors": f"WITH {_UNIT} SELECT count(*) AS vectors, count(DISTINCT chunk_id) AS chunks, 512 AS bytes FROM usable WHERE chunk_id IS NOT NULL",
+    "stored_stats": _BUILD_STATS,
+    "endpoint_projection": f"WITH {_GATED} SELECT place, coalesce(title, '') AS name, url AS path FROM gated JOIN page_records USING (page_id)",
+    "corpus_fingerprint": "WITH hashed AS (SELECT chunk_id // 65536 AS block, chunk_id AS id, sha256(coalesce(page_content, '')) AS h FROM chunks), blocks AS (SELECT block, count(*) AS n, sha256(string_agg(id || ':' || h, chr(10) ORDER BY id, h)) AS h FROM hashed GROUP BY 1) "
+    "SELECT sum(n)::BIGINT AS texts, sha256(string_agg(block || ':' || h, chr(10) ORDER BY block)) AS fingerprint FROM blocks",
+    "dropped_preview": f"WITH {_DEDUPE} SELECT page_id, kept_id, body_hash FROM placed WHERE place > 1 ORDER BY page_id LIMIT 5",
+    "fetch_stamps": "SELECT coalesce(nullif(kind, ''), 'other') AS kind, strftime(min(fetched_at), '%Y-%m-%dT%H:%M:%S+00:00') AS first, strftime(max(fetched_at), '%Y-%m-%dT%H:%M:%S+00:00') AS last FROM crawl_manifest GROUP BY 1",
+    "table_cells": "SELECT page_id, " + _STRIP.format("replace(replace(excerpt, '|', chr(92) || '|'), chr(10), ' ')") + " AS cell FROM page_records WHERE excerpt IS NOT NULL",
     "term_stats": f"WITH {_CHUNK_INDEX} SELECT term, df, total FROM terms",
     "corpus_stats": f"WITH {_CHUNK_INDEX} SELECT docs, tokens, terms, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM corpus",
     "bm25_topn": f"WITH {_LEXICAL} SELECT id AS chunk_id, score, rank::INT AS rank FROM lexical",
     "dense_topn": f"WITH {_UNIT} SELECT id AS chunk_id, score, rank::INT AS rank FROM dense",
     "rrf_hybrid": f"WITH {_FUSED} SELECT h.id AS chunk_id, h.rank::INT AS rank, h.score, array_to_string(list_filter([CASE WHEN s IS NOT NULL THEN 'semantic' END, CASE WHEN b IS NOT NULL THEN 'bm25' END], lambda x: x IS NOT NULL), ',') AS sources, c.title, c.url, c.kind, substring(c.page_content, 1, 500) AS preview FROM hits h JOIN chunks c ON c.chunk_id = h.id",
-    "gated_endpoints": "WITH entries AS (SELECT page_id, concat_ws(chr(10), coalesce(title, ''), coalesce(url, ''), coalesce(excerpt, '')) AS searched FROM page_records WHERE kind = 'reference'), "
-    + _scores_sql(ENDPOINT_QUESTION, id="page_id", text="searched", source="entries")
-    + ", best AS (SELECT id, score FROM scores ORDER BY score DESC, id LIMIT 5), "
-    "kept AS (SELECT b.id, b.score, len(list_intersect(d.tokens, (SELECT list(term) FROM query)))::DOUBLE / (SELECT count(*) FROM query) AS overlap FROM best b JOIN docs d ON d.id = b.id WHERE b.score > 0), "
-    "placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place, lead(score) OVER (ORDER BY score DESC, id) AS second FROM kept WHERE overlap >= 0.3) "
-    "SELECT id AS page_id, score, round(overlap, 6) AS overlap, place::INT AS place FROM placed WHERE place = 1 OR place <= CASE WHEN (SELECT second IS NULL OR score / second >= 2.0 FROM placed WHERE place = 1) THEN 1 ELSE 3 END",
+    "gated_endpoints": f"WITH {_GATED} SELECT * FROM gated",
     "dedupe_content": f"WITH {_DEDUPE} SELECT page_id, url, body_hash FROM placed WHERE place = 1",
     "dropped_dups": f"WITH {_DEDUPE} SELECT page_id, kept_id, body_hash FROM placed WHERE place > 1",
     "filter_null_safe": "SELECT type, count(*) AS n FROM page_records WHERE type IS DISTINCT FROM 'custompage' GROUP BY 1",
@@ -248,7 +323,7 @@ ORACLE = {
     "manifest_latest": "SELECT url, count(*) AS fetches, max(fetched_at) AS fetched_at, max(loaded_at) FILTER (fetched_at = m OR (fetched_at IS NULL AND m IS NULL)) AS loaded_at FROM (SELECT *, max(fetched_at) OVER (PARTITION BY url) AS m FROM crawl_manifest) GROUP BY url",
     "text_fingerprints": "SELECT chunk_id, sha256(coalesce(page_content, '')) AS text_hash FROM chunks",
     "sentinel_smoke": "SELECT slug, page_id, length(coalesce(body_md, ''))::INT AS chars, length(coalesce(body_md, '')) >= 500 AS passed FROM page_records WHERE slug IN ('overview', 'welcome', 'authentication', 'pagination', 'webhooks') QUALIFY row_number() OVER (PARTITION BY slug ORDER BY page_id) = 1",
-    "build_stats": f"WITH {_SIZES}, counters AS (SELECT count(*) AS records_loaded, count(DISTINCT CASE WHEN NOT ({_BLANK}) THEN sha256(body_md) END) + count(*) FILTER ({_BLANK}) AS records_deduped FROM page_records WHERE type IS DISTINCT FROM 'custompage'), stats AS ({_SIZE_STATS}) SELECT * FROM counters, stats",
+    "build_stats": _BUILD_STATS,
     "header_format": "SELECT page_id, 'Title: ' || coalesce(nullif(" + _STRIP.format("title") + ", ''), coalesce(slug, '')) || chr(10) || 'Section: ' || coalesce(nullif(array_to_string(list_filter(coalesce(breadcrumb, []), lambda x: x IS NOT NULL AND x <> ''), ' > '), ''), 'Documentation') || chr(10) || chr(10) AS header FROM page_records",
     "url_cache_paths": r"WITH p AS (SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '^/+', '') AS p FROM crawl_manifest) SELECT CASE WHEN p = '' OR p LIKE '%/' THEN p || '_index' ELSE p END AS cache_key, count(*) AS fetches FROM p GROUP BY 1",
     "rewrite_markdown": r"""WITH r AS (SELECT page_id, rtrim(base_url, '/') || '/' || section_prefix AS base, coalesce(body_md, '') AS b FROM page_records JOIN doc_sites ON site_key = source),

@@ -46,19 +46,63 @@ def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cache_key": batch["name"].str.removesuffix(".html"), "html": pages})
 
 
-def read_page_cache(spark: SparkSession, root: str, pages_per_task: int = 500) -> DataFrame:
+def _cache_uri(root: str) -> str:
+    return root.rstrip("/") if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
+
+
+def _write_pages(uri: str):
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as fs
+
+        system, inner = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for key, page in zip(batch["cache_key"], batch["html"]):
+                folder = f"{inner}/{key}".rpartition("/")[0]
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{inner}/{key}.html") as out:
+                    out.write(page.encode("utf-8", "replace"))
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    return write
+
+
+def write_page_cache(pages: DataFrame, root: str) -> int:
+    """Write pages (url, html) to the cache, a file each, and return how many; addresses with one path share a file, rows without page are left out.
+
+    Files are replaced as a whole, so a task that is run again changes nothing.
+    """
+    keyed = pages.select(T.url_cache_key(F.col("url")).alias("cache_key"), "html").filter("cache_key IS NOT NULL AND html IS NOT NULL")
+    one = keyed.groupBy("cache_key").agg(F.max("html").alias("html"))
+    return one.mapInPandas(_write_pages(_cache_uri(root)), "written bigint").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+
+
+def _list_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.fs as fs
+
+    for batch in batches:
+        for root, part in zip(batch["root"], batch["part"]):
+            system, inner = fs.FileSystem.from_uri(root)
+            files = system.get_file_info(fs.FileSelector(f"{inner}/{part}" if part else inner, recursive=bool(part)))
+            names = [f.path[len(inner) + 1 :] for f in files if f.is_file and f.path.endswith(".html")]
+            yield pd.DataFrame({"root": root, "name": names}, dtype=object)
+
+
+def read_page_cache(spark: SparkSession, root: str) -> DataFrame:
     """Cached pages: cache_key (the path below the root, without .html) and html.
 
-    The names are listed here, as the engine's own listing leaves out names that begin with an underscore,
-    which index pages do; the pages are read by the workers.
+    The engine's own listing leaves out names that begin with an underscore, which index pages do. Only the
+    folders right below the root are listed here; what is in them is listed and read by the workers.
     """
     import pyarrow.fs as fs
 
-    uri = root.rstrip("/") if "://" in root else f"file://{os.path.abspath(root)}"
+    uri = _cache_uri(root)
     system, inner = fs.FileSystem.from_uri(uri)
-    names = [(uri, f.path[len(inner) + 1 :]) for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file and f.path.endswith(".html")]
-    listed = spark.createDataFrame(names, "root string, name string").repartition(max(1, len(names) // pages_per_task))
-    return listed.mapInPandas(_read_pages, "cache_key string, html string")
+    parts = [""]  # the files right below the root, then whole folders
+    for top in (f for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if not f.is_file):
+        parts.append(top.path[len(inner) + 1 :])
+    folders = spark.createDataFrame([(uri, p) for p in parts], "root string, part string").repartition(len(parts))
+    names = folders.mapInPandas(_list_pages, "root string, name string").repartition(max(8, len(parts)))
+    return names.mapInPandas(_read_pages, "cache_key string, html string")
 
 
 def cached_pages(urls: DataFrame, cache: DataFrame) -> DataFrame:
