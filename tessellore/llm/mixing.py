@@ -3,8 +3,10 @@
 Slot i of the mixture takes the golden-ratio point frac(i * 0.618...) and finds its source in the
 cumulative weights; within its source a slot is ranked by position. Each source's documents are
 shuffled by a hash, once per repetition, laid end to end and cut into blocks of equal tokens by
-prefix sums; block k of a source is joined to its slot of rank k. So every stretch of the mixture
-holds its sources in nearly their shares.
+prefix sums; block k of a source is joined to its slot of rank k. There are as many slots as blocks and
+a few more; a block for which the points gave its source no slot (the last ones of a source, all of a
+tiny one) goes to the slot that is evenly spaced for its rank. So every stretch of the mixture holds its
+sources in nearly their shares, and no block is lost.
 
 A source gets ``target_share`` of ``total_tokens`` (by default the tokens of all rows whose source
 is in the targets), but no more than ``max_repeats`` times its own tokens; `report` shows the
@@ -116,15 +118,19 @@ def blocks(df: DataFrame, sources: list[Source], block_tokens: int = BLOCK_TOKEN
     )
 
 
+def slots_for(sources: list[Source], block_tokens: int = BLOCK_TOKENS) -> int:
+    """The number of slots: one for each block, and room for the discrepancy of the points."""
+    need = sum(math.ceil(s.allotted / block_tokens) for s in sources)
+    return need + math.ceil(4 * math.log2(need + 2)) if need else 0
+
+
 def schedule(sources: list[Source], spark, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The slots of the mixture: position, source, and the rank of the slot in its source."""
     used = [s for s in sources if s.allotted > 0]
     total = sum(s.allotted for s in used)
     if not used:
         return spark.range(0).select(F.col("id").alias("slot"), F.lit("").alias("source"), F.col("id").alias("block"))
-    need = sum(math.ceil(s.allotted / block_tokens) for s in used)
-    # a source of weight w has at least w*n - 4 log2(n) of n slots: enough slots for its last block
-    slots = math.ceil(need + (4 * math.log2(need + 2) + 2) * total / min(s.allotted for s in used))
+    slots = slots_for(sources, block_tokens)
     point = F.col("slot") * F.lit(GOLDEN)
     point = point - F.floor(point)
     chosen, cumulative = F.lit(used[-1].name), total - used[-1].allotted
@@ -142,7 +148,11 @@ def mix(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, bloc
     """The mixture in slots (order by ``slot``, ``start_token``) and what was allotted to each source."""
     sources = allot(df, targets, total_tokens, id_col, text_col, source_col)
     parts = blocks(df, sources, block_tokens, seed, id_col, text_col, source_col)
-    return parts.join(schedule(sources, df.sparkSession, block_tokens), ["source", "block"]).select("slot", "source", "block", "start_token", "doc_id", "repetition", "n_tokens"), sources
+    placed = parts.join(schedule(sources, df.sparkSession, block_tokens), ["source", "block"], "left")
+    if used := [s for s in sources if s.allotted > 0]:
+        even = F.floor((F.col("block") + 0.5) * slots_for(sources, block_tokens) / _by_source(used, lambda s: math.ceil(s.allotted / block_tokens)))
+        placed = placed.withColumn("slot", F.coalesce("slot", even.cast("bigint")))
+    return placed.select("slot", "source", "block", "start_token", "doc_id", "repetition", "n_tokens"), sources
 
 
 def short_sources(reported: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from tessellore.runtime import checkpoint, shards_for
 
 CAPACITY = 8_192
 SHARD_ITEMS = 16_384
+WIDE = 2_000  # shards that share out evenly over as many partitions
 NO_ID = -(2**63)
 
 ITEM_SCHEMA = "doc_id bigint, piece int, start_token bigint, n_tokens int, pieces int"
@@ -119,7 +120,7 @@ def pack(
         "*", F.concat(F.lit("full-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.col("piece"), F.lit("-"), F.monotonically_increasing_id()).alias("container"), F.lit(capacity).alias("fill")
     )
     rest = items.filter(F.col("n_tokens").between(1, capacity - 1))
-    parts = [nothing, whole]
+    parts = [nothing, checkpoint(whole)]  # its containers are named once
     left, level, shards_before = df.count(), 0, 0
     while True:
         shards = shards_for(left, shard_items)
@@ -130,6 +131,8 @@ def pack(
         shard = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", apart), F.lit(shards)).cast("int")
         # a null id would turn the whole column into floats on its way through pandas
         sent = rest.withColumn("shard", shard).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+        # few bytes but much work: a fixed number of partitions, which are not merged
+        sent = sent.repartition(shards if shards > WIDE else 4 * shards, "shard")
         packed = sent.groupBy("shard").applyInPandas(_pack_shard(level, capacity), PACKED_SCHEMA)
         packed = checkpoint(packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
         if shards == 1:

@@ -136,6 +136,18 @@ def _mixture(spark: SparkSession, sf_dir: str):
     return mixing.mix(documents, table(spark, sf_dir, "mix_targets"))
 
 
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens packed, the least possible number of containers, and whether none is overfull."""
+    filled = packing.fill_report(_packed(spark, sf_dir))
+    return filled.select("least_containers", "tokens", (F.col("fullest") <= packing.CAPACITY).alias("within"), (F.col("containers") <= 1.01 * F.col("least_containers") + 1).alias("tight"))
+
+
+def p8_allotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source has and shall give, and whether the mixture holds that to within a document."""
+    shares = p8_shares(spark, sf_dir)
+    return shares.select("source", "own_tokens", "allotted_tokens", "is_short", (F.col("actual_tokens") >= F.col("allotted_tokens")).alias("reached"), (F.col("repeats_used") <= F.col("max_repeats")).alias("within"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources that cannot reach their share, from the mixture's report."""
     return mixing.short_sources(mixing.report(*_mixture(spark, sf_dir)))
@@ -174,9 +186,11 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_totals": p7_totals,
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_allotted": p8_allotted,
     "p9_found": p9_found,
 }
 
@@ -261,6 +275,19 @@ ORACLE = {
             THEN 'hard' ELSE 'soft' END AS cut_kind
         FROM texts WHERE length(body) > 2000""",
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 8192",
+    "p7_totals": """
+        SELECT CAST(ceil(sum(octet_length(encode(text))) / 8192.0) AS BIGINT) AS least_containers, CAST(sum(octet_length(encode(text))) AS BIGINT) AS tokens, true AS within, true AS tight
+        FROM documents""",
+    "p8_allotted": """
+        WITH sized AS (
+            SELECT replace(lower(trim(source)), '-', '_') AS source, coalesce(octet_length(encode(text)), 0) AS n FROM documents
+        ), own AS (
+            SELECT t.source, t.target_share, t.max_repeats, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS tokens
+            FROM mix_targets t LEFT JOIN sized s ON s.source = t.source GROUP BY ALL
+        ), total AS (SELECT sum(tokens) AS n FROM own)
+        SELECT source, tokens AS own_tokens, CAST(least(round_even(target_share * n, 0), max_repeats * tokens) AS BIGINT) AS allotted_tokens,
+            max_repeats * tokens < target_share * n AS is_short, true AS reached, true AS within
+        FROM own, total""",
     "p8_found": """
         WITH sized AS (
             SELECT replace(lower(trim(source)), '-', '_') AS source, coalesce(octet_length(encode(text)), 0) AS n FROM documents

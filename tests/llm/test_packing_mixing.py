@@ -115,6 +115,20 @@ def test_prefix_sums_in_buckets_agree_with_plain_ones(spark, monkeypatch):
     assert at >= 1800 > at - 7
 
 
+def test_a_tiny_source_does_not_stretch_the_schedule(spark):
+    sources = [mixing.Source("a", 0.5, 1, 10**8, 10**8, 1), mixing.Source("b", 0.5, 1, 10**8, 10**8, 1), mixing.Source("c", 0.0, 1, 100, 100, 1)]
+    need = sum(-(-s.allotted // 1_000) for s in sources)
+    assert mixing.schedule(sources, spark, 1_000).count() <= 1.01 * need
+    rows = [(i, "x" * 100, "a" if i % 2 else "b") for i in range(2_000)] + [(5_000, "tiny", "c"), (5_001, "t", "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.49998, 1), ("c", 0.00002, 1)], "source string, target_share double, max_repeats int")
+    mixture, sources = mixing.mix(df, targets, block_tokens=500)
+    out = mixture.collect()
+    assert all(r["slot"] is not None for r in out)
+    assert any(r["source"] == "c" for r in out)
+    assert sum(r["n_tokens"] for r in out if r["source"] != "c") >= sum(s.allotted for s in sources if s.name != "c")
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
