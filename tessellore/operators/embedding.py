@@ -134,9 +134,12 @@ def embed_into(spark: SparkSession, path: str, texts: DataFrame, make: Callable[
     return read_vectors(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The vectors stored at ``path``; none where nothing is stored yet."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], VECTORS)
-    return spark.read.schema(VECTORS).parquet(path)
+    return spark.read.schema(VECTORS).parquet(path) if exists(spark, path) else spark.createDataFrame([], VECTORS)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellore.functions import text as T
-from tessellore.operators import answering, chunking, embedding, endpoints, extract, links, records, trees
+from tessellore.operators import answering, chunking, embedding, endpoints, extract, links, records, service, trees
 from tessellore.operators.nested import decode
 from tessellore.sources import tables
 
@@ -290,6 +290,13 @@ def answer_parts(spark, sf_dir):
     return spark.createDataFrame(rows, "part string, text string")
 
 
+def service_responses(spark, sf_dir):
+    """Statuses of requests that are fine, not understood, or fail behind the edge."""
+    edge = service.Service(None, answering.quoting_model)
+    asked = [("POST", "/api/query", "{}"), ("POST", "/api/query", '{"query": ""}'), ("POST", "/api/query", "["), ("POST", "/api/query", '{"query": "x"}'), ("GET", "/api/health", ""), ("GET", "/api/config/", ""), ("GET", "/", "")]
+    return spark.createDataFrame([(i, edge.handle(*a)[0]) for i, a in enumerate(asked)], "i int, status int")
+
+
 def double_encoded(spark, sf_dir):
     """Documents encoded twice, cut off, or nested beyond the parser's stack are read or left out."""
     deep = '{"a": ' * 20_000 + "1" + "}" * 20_000
@@ -299,7 +306,7 @@ def double_encoded(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     extract_pages, embedded_json, frontier_deep, collection_keys, href_links, link_bodies, crawl_limited, render_document, schema_labels, text_routes,
-    splitter, settings_from_env, refused, question_vector, answer_parts, double_encoded,
+    splitter, settings_from_env, refused, question_vector, answer_parts, service_responses, double_encoded,
 )}
 
 _GUIDE = ("see (https://h/s/docs/x)\n\nend", "basic", False, True, "C", "1", 18)
@@ -350,5 +357,6 @@ ORACLE = {
     "refused": values_sql("what, outcome", [("question", "refused"), ("backend", "refused"), ("key", "refused")]),
     "question_vector": values_sql("numbers, same, squares", [(32, True, 1.0)]).replace(", 1.0)", ", 1.0::DOUBLE)"),
     "answer_parts": values_sql("part, text", [("prompt", _PROMPT), ("answer", "Title: T  •  Section: A > B\nURL: u\n\nfirst"), ("source 0", "T|u|first"), ("source 1", "|None| second "), ("endpoint 0", "GET /x N line one\nline two"), ("endpoint 1", "PUT /y M ")]),
+    "service_responses": values_sql("i, status", list(enumerate([422, 422, 422, 500, 200, 200, 404]))),
     "double_encoded": values_sql("i, readable", [(0, True), (1, False), (2, False), (3, True), (4, False)]),
 }

@@ -34,7 +34,10 @@ def http_get(url: str) -> tuple[int, str]:
 
 
 def fetch_one(url: str, get: Callable[[str], tuple[int, str]], pause: Callable[[float], None], attempts: int = ATTEMPTS) -> tuple[int | None, str, str | None]:
-    """(status, html, error): server errors are retried with growing pauses, other statuses are final."""
+    """(status, html, error): server errors are retried after 2, 4, 8 seconds and a part, other statuses are final.
+
+    A network that fails each time is no exception here but a row with its error, so one address cannot end a crawl.
+    """
     last: tuple[int | None, str, str | None] = (None, "", None)
     for attempt in range(attempts):
         try:
@@ -48,7 +51,7 @@ def fetch_one(url: str, get: Callable[[str], tuple[int, str]], pause: Callable[[
                 return status, "", f"http {status}"
             last = (status, "", f"http {status} after {attempt + 1} attempts")
         if attempt + 1 < attempts:
-            pause(min(2.0**attempt, MOST_PAUSE) + random.random())
+            pause(min(2.0 ** (attempt + 1), MOST_PAUSE) + random.random())
     return last
 
 

@@ -82,7 +82,7 @@ def _list_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for root, part in zip(batch["root"], batch["part"]):
             system, inner = fs.FileSystem.from_uri(root)
-            files = system.get_file_info(fs.FileSelector(f"{inner}/{part}" if part else inner, recursive=bool(part)))
+            files = system.get_file_info(fs.FileSelector(f"{inner}/{part}" if part else inner, recursive=bool(part), allow_not_found=True))
             names = [f.path[len(inner) + 1 :] for f in files if f.is_file and f.path.endswith(".html")]
             yield pd.DataFrame({"root": root, "name": names}, dtype=object)
 
