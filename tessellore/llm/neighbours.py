@@ -4,8 +4,14 @@ Equal vectors are collapsed first and shared out again at the end, so a vector h
 all rows is one node. Shards are the cells of a coarse quantiser: k-means centroids fitted on a
 bounded sample (`SAMPLE` distinct vectors, those of smallest hash); every distinct vector is indexed
 in its nearest cell, of about `CELL_ROWS` vectors. A cell with more than `SHARD_ROWS` vectors is
-divided over several graphs. Every vector is looked up in every graph and the results are merged: the
-accuracy is that of the graphs at any count, and the work grows with vectors times graphs.
+divided over several graphs, all of which are asked.
+
+How many of its nearest cells a vector has to ask is measured, at every size in the same way: for
+`PROBED` vectors (those of smallest hash) the true neighbours are found by brute force over all vectors,
+and the number of cells is the least for which these hold at least the share `COVER` of them. Where near
+neighbours are far spread over the cells that is all of them, where vectors form clusters it is a few.
+``probes`` sets the number instead; at the number of cells nothing is passed over. `exact_neighbours` is
+the exact way: all pairs of a query set against all rows, in blocks.
 
 A shard's graph is hierarchical: a node reaches level L with probability m^-L (from a hash of its
 key), each level links its nodes to diverse near neighbours, a search descends greedily through the
@@ -38,11 +44,16 @@ EF_BUILD = 64
 EF_SEARCH = 64
 SLICES = 4
 SLICE_ROWS = 131_072
+WIDE = 8_000
+QUERY_BLOCK = 4_096
+PARTS = 16
 CELL_ROWS = 32_768
-MOST_CELLS = 4_096
 SHARD_ROWS = 65_536
 SAMPLE = 20_000
+PROBED = 500
+COVER = 0.98
 BLOCK = 512
+ROUTED = 4_096
 
 
 # --- one graph -------------------------------------------------------------------------------------
@@ -256,21 +267,69 @@ def pack_vectors(df: DataFrame, id_col: str, vector_col: str, dimension: int) ->
     return rows.select("vec_id", same.alias("v")).select("vec_id", F.xxhash64("v").alias("key"), F.xxhash64("v", F.lit(1)).alias("key2"), "v")
 
 
-def _route(centres: np.ndarray, shards: np.ndarray, dimension: int):
-    """Points to a shard of their nearest cell."""
+def _route(centres: np.ndarray, shards: np.ndarray, dimension: int, probes: int = 0):
+    """Points to a shard of their nearest cell; or, with ``probes``, to all shards of that many nearest cells."""
+    first = np.concatenate([[0], np.cumsum(shards)])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = np.concatenate([[0], np.cumsum(shards)])
         for batch in batches:
-            if not len(batch):
-                continue
-            cell = (unit(batch["packed"], dimension) @ centres.T).argmax(1)
-            salt = (batch["node"].to_numpy().astype(np.uint64) >> np.uint64(7)) % shards[cell].astype(np.uint64)
-            yield pd.DataFrame({"shard": first[cell] + salt.astype(np.int64), "node": batch["node"], "packed": batch["packed"]})
+            for at in range(0, len(batch), ROUTED):
+                part = batch.iloc[at : at + ROUTED]
+                near = unit(part["packed"], dimension) @ centres.T
+                if not probes:
+                    cell = near.argmax(1)
+                    salt = (part["node"].to_numpy().astype(np.uint64) >> np.uint64(7)) % shards[cell].astype(np.uint64)
+                    yield pd.DataFrame({"shard": first[cell] + salt.astype(np.int64), "node": part["node"], "packed": part["packed"]})
+                    continue
+                cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes].ravel() if probes < len(centres) else np.tile(np.arange(len(centres)), len(part))
+                many = shards[cells]
+                owner = np.repeat(np.repeat(np.arange(len(part)), probes), many)
+                shard = np.repeat(first[cells], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield pd.DataFrame({"shard": shard, "node": part["node"].to_numpy()[owner], "packed": part["packed"].to_numpy()[owner]})
 
     return route
 
 
+def _nearest_of(queries: np.ndarray, nodes: np.ndarray, k: int, dimension: int):
+    """The k nearest vectors of each query in each batch, by brute force; a vector is not its own neighbour."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), ROUTED):
+                part = batch.iloc[at : at + ROUTED]
+                found = queries @ unit(part["packed"], dimension).T
+                own = part["node"].to_numpy()
+                found[nodes[:, None] == own[None, :]] = -np.inf
+                best = np.argpartition(-found, min(k, found.shape[1]) - 1, axis=1)[:, :k]
+                sims = np.take_along_axis(found, best, 1).ravel()
+                query = np.repeat(np.arange(len(queries), dtype=np.int32), best.shape[1])
+                ok = sims > -np.inf
+                yield pd.DataFrame({"query": query[ok], "sim": sims[ok], "other": own[best.ravel()[ok]], "packed": part["packed"].to_numpy()[best.ravel()[ok]]})
+
+    return nearest
+
+
+def exact_neighbours(groups: DataFrame, queries: pd.DataFrame, k: int, dimension: int = DIMENSION) -> DataFrame:
+    """query (its row), other, sim, packed: the true k nearest of ``groups`` (node, packed) for the rows of ``queries``, a bounded set on the driver."""
+    near = groups.select("node", "packed").mapInPandas(_nearest_of(unit(queries["packed"], dimension), queries["node"].to_numpy(), k, dimension), "query int, sim float, other bigint, packed binary")
+    return near.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "other"))).filter(F.col("place") <= k).drop("place")
+
+
+def probes_needed(groups: DataFrame, centres: np.ndarray, k: int, dimension: int = DIMENSION, cover: float = COVER) -> int:
+    """The least number of nearest cells that hold at least the share ``cover`` of the true neighbours of `PROBED` vectors."""
+    if len(centres) == 1:
+        return 1
+    queries = groups.select("node", "packed", F.xxhash64("node", F.lit(11)).alias("h")).orderBy("h").limit(PROBED).select("node", "packed").toPandas()
+    found = exact_neighbours(groups, queries, k, dimension).select("query", "packed").toPandas()  # k for each of PROBED
+    if not len(found):
+        return 1
+    near = unit(queries["packed"], dimension) @ centres.T
+    home = (unit(found["packed"], dimension) @ centres.T).argmax(1)
+    asked = found["query"].to_numpy()
+    ranks = (near[asked] > near[asked, home][:, None]).sum(axis=1) + 1
+    return int(np.sort(ranks)[math.ceil(cover * len(ranks)) - 1])
+
+
 INDEX_SCHEMA = "shard bigint, nodes binary, vectors binary, level_sizes array<int>, members binary, tables binary, links int"
 
 
@@ -321,6 +380,7 @@ def _search(dimension: int, k: int, ef: int):
 def build_index(groups: DataFrame, centres: np.ndarray, shards: np.ndarray, dimension: int = DIMENSION, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
     """One row of flat arrays per shard over ``groups`` (node, packed)."""
     points = groups.select("node", "packed").mapInPandas(_route(centres, shards, dimension), "shard bigint, node bigint, packed binary")
+    points = points.repartition(max(1, min(WIDE, 4 * int(shards.sum()))), "shard")
     return points.groupBy("shard").applyInPandas(_build(dimension, links, ef), INDEX_SCHEMA)
 
 
@@ -329,7 +389,7 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("key", "key2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
 
 
-def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, cell_rows: int = CELL_ROWS, links: int = LINKS, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, cell_rows: int = CELL_ROWS, links: int = LINKS, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH, probes: int | None = None) -> DataFrame:
     """For every usable row its k most similar other rows: vec_id, rank from 1, neighbour_id, cosine."""
     spark = df.sparkSession
     rows = pack_vectors(df, id_col, vector_col, dimension)
@@ -338,20 +398,24 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     result = "vec_id bigint, rank int, neighbour_id bigint, cosine double"
     if count == 0:
         return spark.createDataFrame([], result)
-    cells = min(MOST_CELLS, max(1, math.ceil(count / cell_rows)))
+    cells = max(1, math.ceil(count / cell_rows))
     sample = groups.select("packed", F.xxhash64("node", F.lit(7)).alias("h")).orderBy("h").limit(max(SAMPLE, 4 * cells)).select("packed").toPandas()
     centres = centroids_of(unit(sample["packed"], dimension), cells)
     in_cell = groups.select("node", "packed").mapInPandas(_route(centres, np.ones(cells, dtype=np.int64), dimension), "shard bigint, node bigint, packed binary").groupBy("shard").count().collect()  # a row per cell
     shards = np.ones(cells, dtype=np.int64)
     for r in in_cell:
         shards[r["shard"]] = math.ceil(r["count"] / SHARD_ROWS)
-    index = build_index(groups, centres, shards, dimension, links, ef_build)
-    # every graph is asked about all vectors: in slices, each with a copy of the graph
-    slices = max(SLICES, math.ceil(count / SLICE_ROWS))
-    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    queries = groups.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(shards.sum()) - 1).cast("bigint"))).alias("shard"), "node", "packed")
+    probes = min(cells, probes or probes_needed(groups, centres, k, dimension))
+    index = checkpoint(build_index(groups, centres, shards, dimension, links, ef_build))
+    # a graph is asked in slices, each with a copy of it
+    slices = max(SLICES, math.ceil(count * probes / cells / SLICE_ROWS))
+    graphs = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    queries = groups.select("node", "packed").mapInPandas(_route(centres, shards, dimension, probes), "shard bigint, node bigint, packed binary")
     queries = queries.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int"))
-    near = index.groupBy("shard", "slice").cogroup(queries.groupBy("shard", "slice")).applyInPandas(_search(dimension, k, ef_search), "node bigint, other bigint, sim float")
+    # few rows but much work: a fixed number of partitions, which are not merged
+    parts = max(1, min(WIDE, 4 * slices * int(shards.sum())))
+    graphs, queries = (x.repartition(parts, "shard", "slice") for x in (graphs, queries))
+    near = graphs.groupBy("shard", "slice").cogroup(queries.groupBy("shard", "slice")).applyInPandas(_search(dimension, k, ef_search), "node bigint, other bigint, sim float")
     best = near.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "other"))).filter(F.col("place") <= k)
     best = checkpoint(best.select("node", "other", F.col("sim").cast("double").alias("sim")))
     # the smallest ids of each distinct vector that has copies: at most k+1, cut down before the shuffle
@@ -380,3 +444,29 @@ def similar_pairs(found: DataFrame, least: float) -> DataFrame:
     """The pairs a < b of cosine ``least`` or more where one is a neighbour of the other."""
     close = found.filter(F.col("cosine") >= least)
     return close.select(F.least("vec_id", "neighbour_id").alias("vec_id_a"), F.greatest("vec_id", "neighbour_id").alias("vec_id_b")).distinct()
+
+
+def recall_against_brute_force(df: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, every: int = 20) -> DataFrame:
+    """One row: queries (the usable rows whose id is divisible by ``every``), and the share of their k neighbours that are as near as the true ones.
+
+    The query set is compared with all rows in blocks: each task holds a block of queries, which are shared out
+    by hash, and streams over a share of the rows.
+    """
+    rows = pack_vectors(df, id_col, vector_col, dimension).select(F.col("vec_id").alias("node"), "v")
+    packed = rows.withColumn("key", F.lit(0)).mapInPandas(_pack(dimension), "node bigint, key int, packed binary").select("node", "packed")
+    packed = checkpoint(packed)
+    asked = packed.filter(F.pmod("node", F.lit(every)) == 0)
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    spread = packed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [x.assign(query=left["node"].to_numpy()[x["query"]]) for x in _nearest_of(unit(left["packed"], dimension), left["node"].to_numpy(), k, dimension)(iter([right]))] if len(left) and len(right) else []
+        return pd.concat(out)[["query", "sim"]] if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})
+
+    true = asked.groupBy("block", "part").cogroup(spread.groupBy("block", "part")).applyInPandas(compare, "query bigint, sim float")
+    true = true.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim")))).filter(F.col("place") <= k)
+    least = true.groupBy("query").agg(F.min("sim").alias("least"), F.count("*").alias("wanted"))
+    hits = found.join(least, found["vec_id"] == least["query"]).groupBy("query").agg(F.max("wanted").alias("wanted"), F.count_if(F.col("cosine") >= F.col("least") - 1e-5).alias("hit"))
+    return hits.agg(F.count("*").alias("queries"), F.round(F.try_divide(F.sum(F.least("hit", "wanted")), F.sum("wanted")), 4).alias("recall"))

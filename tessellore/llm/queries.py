@@ -112,6 +112,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(p6_neighbours(spark, sf_dir), 0.85)
 
 
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall at 5 of p6_neighbours for the rows whose id is divisible by 20, against all rows, and whether it reaches 0.9."""
+    found = neighbours.recall_against_brute_force(table(spark, sf_dir, "chunk_vectors"), p6_neighbours(spark, sf_dir))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -178,6 +184,7 @@ QUERIES = {
     "p5_constrained": p5_constrained,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
+    "p6_recall": p6_recall,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p4_found": p4_found,
@@ -255,6 +262,9 @@ ORACLE = {
         UNION ALL SELECT group_id, 'excerpt', page_id FROM ranked WHERE r3 = 1 AND e > 0""",
     "p5_choices": _REACH + _RANKED + _CHOICES + " SELECT * FROM choices",
     "p5_constrained": _REACH + _RANKED + _CHOICES + " SELECT bundle, count(*) AS groups, count(*) FILTER (rank > 1) AS constrained FROM choices GROUP BY 1",
+    "p6_recall": """
+        SELECT count(*) AS queries, true AS reached FROM chunk_vectors
+        WHERE vec_id % 20 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
     "p6_found": """
         WITH usable AS (
             SELECT vec_id, embedding::DOUBLE[64] AS v FROM chunk_vectors

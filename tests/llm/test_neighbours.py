@@ -88,6 +88,24 @@ def test_distant_neighbours_are_found_in_many_cells(spark):
     assert sum(r["cosine"] >= best[r["vec_id"]] - 1e-5 for r in got) / len(got) >= 0.95
 
 
+def test_probes_follow_the_data(spark):
+    """Clusters need few of many cells, vectors without close neighbours nearly all; recall holds for both."""
+    rng = np.random.default_rng(10)
+    centre = 4 * rng.normal(size=(40, 16))
+    tight = np.array([centre[i % 40] + 0.1 * rng.normal(size=16) for i in range(2_000)], dtype=np.float32)
+    loose = rng.normal(size=(2_000, 16)).astype(np.float32)
+    asked = []
+    for vectors in (tight, loose):
+        df = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)], SCHEMA)
+        groups = nb.distinct_vectors(nb.pack_vectors(df, "vec_id", "embedding", 16)).mapInPandas(nb._pack(16), "key bigint, key2 bigint, node bigint, copies bigint, packed binary")
+        centres = nb.centroids_of(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), 40)
+        asked.append(nb.probes_needed(groups, centres, 5, 16))
+        found = nb.neighbours(df, dimension=16, cell_rows=50)
+        report = nb.recall_against_brute_force(df, found, dimension=16).first()
+        assert report["queries"] == 100 and report["recall"] >= 0.9
+    assert asked[0] <= 8 < asked[1] <= 40
+
+
 def test_few_and_none(spark):
     assert nb.neighbours(spark.createDataFrame([], SCHEMA), dimension=2).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0], "x", 1)], SCHEMA)
