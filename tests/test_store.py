@@ -19,7 +19,7 @@ def built(spark, tmp_path_factory):
     pages = spark.createDataFrame(rows, "page_id bigint, source string, url string, body_md string, type string")
     missing = [c.split()[0] for c in tables.RECORD_SCHEMA.replace("struct<title:string,slug:string,type:string,id:string>", "string").split(", ") if c.split()[0] not in pages.columns]
     pages = pages.withColumns({c: F.lit(None).cast("array<string>" if c == "breadcrumb" else "string") for c in missing})
-    tree = {"item": [{"name": "Lock a rate", "request": {"method": "post", "url": "/rates/lock"}}]}
+    tree = {"item": [{"name": "Lock a rate", "request": {"method": "post", "url": "/rates/lock"}}, *({"name": f"Get {x}", "request": {"url": f"/{x}"}} for x in ("loan", "user", "form", "log"))]}
     return cli.build(spark, pages, spark.createDataFrame([(json.dumps(tree),)], "collection string"), path), path
 
 
