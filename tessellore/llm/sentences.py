@@ -362,9 +362,11 @@ class Notes:
             if spans:
                 self._read_around(piece, words, spans, language)
                 continue
-            behind = self.behind[language]
+            behind, last = self.behind[language], len(piece.rstrip())
             for m in (GREEK_MARKS if language == "el" else MARKS).finditer(piece):
                 at, cut = m.span()
+                if cut >= last:
+                    break  # the piece ends here anyway
                 if cut - at == 1 and piece[at] == "." and piece[cut : cut + 1] == " " and piece[cut + 1 : cut + 2].isupper():
                     token = piece[piece.rfind(" ", 0, at) + 1 : at]
                     if len(token) > 1 and token.isalpha():  # most periods are like this
@@ -471,12 +473,12 @@ class Notes:
             begin += 1
         if begin == len(piece):
             return YES
+        if text[0] in FULL or any(c in FULL for c in text):
+            return YES
         token = piece[piece.rfind(" ", 0, at) + 1 : at]
         following, second = self._following(piece, begin, token)
         if counted and spaced and text[-1] in ".!?…؟।":
             (self.behind if text[-1] in ".…" else self.starts)[language].append(following)
-        if any(c in FULL for c in text):
-            return YES
         bare = following.lstrip(LEADING) or piece[begin : begin + WINDOW].lstrip(LEADING)
         first = bare[:1]
         core, dotted = self.type_of(following)
