@@ -281,17 +281,29 @@ def nodes_of(document: dict) -> Iterator[dict]:
         stack.extend(reversed(below))
 
 
+SLICE = 50_000  # nodes that are passed on together
+
+
 def _shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
-    for batch in batches:
-        rows = []
-        for page_id, text in zip(batch["page_id"], batch["document"]):
-            if (document := decode(text)) is not None:
-                rows += [{"page_id": page_id, **node} for node in nodes_of(document)]
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=columns)
         for column in ("parent_id", "is_required"):
             out[column] = out[column].astype("Int32" if column == "parent_id" else "boolean")
-        yield out
+        return out
+
+    for batch in batches:
+        rows: list[dict] = []
+        for page_id, text in zip(batch["page_id"], batch["document"]):
+            if (document := decode(text)) is None:
+                continue
+            for node in nodes_of(document):  # a document may unfold into far more nodes than it has characters
+                rows.append({"page_id": page_id, **node})
+                if len(rows) >= SLICE:
+                    yield frame(rows)
+                    rows = []
+        yield frame(rows)
 
 
 def shred(df: DataFrame, id_col: str = "page_id", document_col: str = "oas") -> DataFrame:

@@ -50,6 +50,22 @@ def shards_for(rows: int, rows_per_shard: int, at_least: int = 1) -> int:
     return max(at_least, math.ceil(rows / rows_per_shard))
 
 
+EVENLY = 1_000  # keys up to which the spread over partitions is looked at; more spread well by their number
+
+
+def even_partitions(keys: DataFrame, count: int) -> int:
+    """Over how many partitions, ``count`` to four times that, the hashes of ``count`` distinct keys spread most evenly.
+
+    For keys that are few but mean much work each: two of them in one partition would take twice the time.
+    """
+    if count > EVENLY:
+        return count
+    tried = sorted({count + i * max(1, 3 * count // 50) for i in range(50)})
+    numbers = keys.select(F.hash(*keys.columns).alias("hash"), F.explode(F.array(*(F.lit(n) for n in tried))).alias("n"))
+    most = numbers.groupBy("n", F.pmod("hash", "n")).count().groupBy("n").agg(F.max("count").alias("most"))
+    return most.orderBy("most", "n").first()["n"] if count else 1
+
+
 #: Every character that counts as white space.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 

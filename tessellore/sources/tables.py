@@ -110,6 +110,15 @@ def cached_pages(urls: DataFrame, cache: DataFrame) -> DataFrame:
     return urls.withColumn("cache_key", T.url_cache_key(F.col("url"))).join(cache, "cache_key", "left").withColumn("cache_hit", F.col("html").isNotNull())
 
 
+def read_env_file(path: str | None) -> dict[str, str]:
+    """NAME=value lines; blank lines, comments and a missing file are nothing, quotes around a value go."""
+    if path is None or not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as source:
+        pairs = (line.removeprefix("export ").partition("=") for line in map(str.strip, source) if line and not line.startswith("#"))
+        return {name.strip(): value.strip().strip("\"'") for name, found, value in pairs if found}
+
+
 @dataclass(frozen=True)
 class Settings:
     """Where things are and how much is retrieved; the environment may say otherwise."""
@@ -120,8 +129,9 @@ class Settings:
     depth: int = 20
 
     @classmethod
-    def from_env(cls, env: dict[str, str] | None = None) -> Settings:
-        env = dict(os.environ if env is None else env)
+    def from_env(cls, env: dict[str, str] | None = None, file: str | None = None) -> Settings:
+        """Settings of the environment; what it leaves open may stand as NAME=value lines in a file."""
+        env = read_env_file(file) | dict(os.environ if env is None else env)
         return cls(env.get("VECTOR_STORE_PATH"), int(env.get("RETRIEVAL_K", 5)), int(env.get("RRF_K", 60)), int(env.get("RRF_INPUT_DEPTH", 20)))
 
 

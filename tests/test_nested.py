@@ -135,6 +135,15 @@ def test_nothing_named_is_lost_and_every_parent_resolves(spark):
     }
 
 
+def test_nodes_are_passed_on_in_slices(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(nested, "SLICE", 10)
+    batch = pd.DataFrame({"page_id": [1, 2], "document": [json.dumps(DOCUMENT)] * 2})
+    parts = list(nested._shred(iter([batch])))
+    assert max(map(len, parts)) == 10 and sum(map(len, parts)) == 2 * len(list(nested.nodes_of(DOCUMENT)))
+
+
 def test_empty_table(spark):
     schema = "page_id bigint, oas string, category struct<title:string,slug:string,type:string,id:string>"
     assert nested.found_items(nested.variant_tables(nested.page_nodes(spark.createDataFrame([], schema)))).count() == 0

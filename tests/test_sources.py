@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from tessellore import runtime
 from tessellore.sources import http, tables
 from tessellore.streaming import ingest
 
@@ -62,6 +63,22 @@ def test_store_location(tmp_path):
     assert tables.locate_store(tables.Settings(), here=str(tmp_path)).endswith("vector_store")
 
 
+def test_settings_of_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# a note\n\nexport RETRIEVAL_K=9\nVECTOR_STORE_PATH='/x y'\nno value\n")
+    found = tables.Settings.from_env({"RETRIEVAL_K": "3"}, str(tmp_path / ".env"))
+    assert (found.store, found.retrieval_k, found.rrf_k) == ("/x y", 3, 60)
+    assert tables.read_env_file(str(tmp_path / "none")) == {}
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    schema = "page_id bigint, type string, discovered_via string, url string, body_md string"
+    batch = spark.createDataFrame([(1, "basic", None, "u", "x"), (2, "basic", None, "v", " ")], schema)
+    for _ in range(2):
+        ingest.add_batch(batch, str(tmp_path / "s"), 4)
+    ingest.add_batch(batch, str(tmp_path / "s"), 5)
+    assert sorted((r["batch"], r["page_id"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(4, 1), (4, 2), (5, 2)]
+
+
 def test_streaming_ingest(spark, tmp_path):
     schema = "page_id bigint, type string, discovered_via string, url string, body_md string"
     first = [(1, "basic", None, "u", "x"), (2, "basic", None, "v", "x"), (3, None, None, "w", ""), (4, "custompage", None, "q", "y")]
@@ -89,3 +106,13 @@ def test_manifest_windows_on_a_stream(spark, tmp_path):
 def test_reading_collections(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"item": []}, indent=2))
     assert json.loads(tables.read_collections(spark, str(tmp_path)).first()["collection"]) == {"item": []}
+
+
+def test_few_keys_are_spread_over_partitions(spark):
+    for count in (1, 2, 7, 30):
+        keys = spark.range(count)
+        n = runtime.even_partitions(keys, count)
+        held = [x for x in keys.repartition(n, "id").rdd.glom().map(len).collect() if x]
+        assert count <= n <= 4 * count + 50 and max(held) <= 2 and sum(held) == count
+    assert max(len(x) for x in spark.range(2).repartition(runtime.even_partitions(spark.range(2), 2), "id").rdd.glom().collect()) == 1
+    assert runtime.even_partitions(spark.range(0), 0) == 1 and runtime.even_partitions(spark.range(5_000), 5_000) == 5_000
