@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessellore.runtime import checkpoint
+from tessellore.runtime import checkpoint, even_partitions
 
 DIMENSION = 64
 K = 5
@@ -44,7 +44,6 @@ EF_BUILD = 64
 EF_SEARCH = 64
 SLICES = 4
 SLICE_ROWS = 131_072
-WIDE = 8_000
 QUERY_BLOCK = 4_096
 PARTS = 16
 CELL_ROWS = 32_768
@@ -380,7 +379,8 @@ def _search(dimension: int, k: int, ef: int):
 def build_index(groups: DataFrame, centres: np.ndarray, shards: np.ndarray, dimension: int = DIMENSION, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
     """One row of flat arrays per shard over ``groups`` (node, packed)."""
     points = groups.select("node", "packed").mapInPandas(_route(centres, shards, dimension), "shard bigint, node bigint, packed binary")
-    points = points.repartition(max(1, min(WIDE, 4 * int(shards.sum()))), "shard")
+    count = int(shards.sum())
+    points = points.repartition(even_partitions(groups.sparkSession.range(count), count), "shard")  # not merged: few rows but much work
     return points.groupBy("shard").applyInPandas(_build(dimension, links, ef), INDEX_SCHEMA)
 
 
@@ -412,8 +412,8 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     graphs = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     queries = groups.select("node", "packed").mapInPandas(_route(centres, shards, dimension, probes), "shard bigint, node bigint, packed binary")
     queries = queries.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int"))
-    # few rows but much work: a fixed number of partitions, which are not merged
-    parts = max(1, min(WIDE, 4 * slices * int(shards.sum())))
+    pairs = spark.range(int(shards.sum()) * slices).select(F.floor(F.col("id") / slices).alias("shard"), (F.col("id") % slices).cast("int").alias("slice"))
+    parts = even_partitions(pairs, int(shards.sum()) * slices)
     graphs, queries = (x.repartition(parts, "shard", "slice") for x in (graphs, queries))
     near = graphs.groupBy("shard", "slice").cogroup(queries.groupBy("shard", "slice")).applyInPandas(_search(dimension, k, ef_search), "node bigint, other bigint, sim float")
     best = near.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "other"))).filter(F.col("place") <= k)

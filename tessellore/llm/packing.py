@@ -21,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellore.runtime import checkpoint, shards_for
+from tessellore.runtime import checkpoint, even_partitions, shards_for
 
 CAPACITY = 8_192
 SHARD_ITEMS = 16_384
-WIDE = 2_000  # shards that share out evenly over as many partitions
 NO_ID = -(2**63)
 
 ITEM_SCHEMA = "doc_id bigint, piece int, start_token bigint, n_tokens int, pieces int"
@@ -132,7 +131,7 @@ def pack(
         # a null id would turn the whole column into floats on its way through pandas
         sent = rest.withColumn("shard", shard).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
         # few bytes but much work: a fixed number of partitions, which are not merged
-        sent = sent.repartition(shards if shards > WIDE else 4 * shards, "shard")
+        sent = sent.repartition(even_partitions(df.sparkSession.range(shards).select(F.col("id").cast("int")), shards), "shard")
         packed = sent.groupBy("shard").applyInPandas(_pack_shard(level, capacity), PACKED_SCHEMA)
         packed = checkpoint(packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
         if shards == 1:

@@ -82,6 +82,27 @@ def test_language_of():
     assert sn.language_of("Norbex", "de") == "de"
 
 
+def test_declared_languages_without_a_list_are_kept():
+    pt = "Os campos do formulário ficam vazios quando a fila para, por isso o serviço não responde."
+    pl = "Kolejka jest pusta i to pole nie ma wartości, a system czeka na nowy wpis do listy."
+    it = "La coda è vuota e il modulo non si apre, per questo il servizio non risponde più."
+    assert [sn.language_of(t, h) for t, h in ((pt, "pt"), (pl, "pl"), (it, "it"))] == ["pt", "pl", "it"]
+    assert sn.language_of("The form is in the queue, and it waits for the call of the desk.", "pt") == "en"
+    assert [sn.hint_of(x) for x in ("EN", "pt-BR", "en_XX", "??", "", None, "english language")] == ["en", "pt", "en", None, None, None, None]
+
+
+def test_collocations_are_learned(spark):
+    """A word that follows an abbreviation's period again and again, and one that follows a name behind it."""
+    names = ["Norbex", "Vikor", "Tamund", "Delquay", "Fenrow", "Olsi", "Wexa", "Galt"]
+    rows = []
+    for i in range(400):
+        a, b = names[i % 8], names[(i + 3) % 8]
+        rows.append((f"The form of {a} waits. It ended at 9 p.m. {b} time. It began at 4 p.m. The desk of {b} waits. See the list of {a} Inc. Holdings here. The list of {b} Inc. The queue waits for {a}. When is it done? It waits. If {a} stops, {b} waits. Is it the form? The form waits.", "en"))
+    model = sn.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert ("en", "p.m", "_ time") in model.collocations and ("en", "inc", "Holdings") in model.collocations
+    assert units("It ended at 9 p.m. Zubrow time. It is at Norbex Inc. Holdings now.", model) == ["It ended at 9 p.m. Zubrow time.", "It is at Norbex Inc. Holdings now."]
+
+
 def test_dirty_rows(spark, model):
     rows = [(1, None, "en", "x"), (2, "", None, "x"), (3, " \n\n ", "??", "x"), (4, "The form. Use it.", "XX", "x"), (4, "The form. Use it.", "XX", "x"), (5, "a " * 30_000 + "." * 30_000 + "\"" * 5_000 + "(" * 5_000, None, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, start_char string")
