@@ -1,17 +1,24 @@
-"""The k most similar vectors of every vector: one small-world graph per shard, results merged.
+"""The k most similar vectors of every vector, exactly: blocks of vectors against all blocks, results merged.
 
 Equal vectors are collapsed first and shared out again at the end, so a vector held by a third of
-all rows is one node. Shards are the cells of a coarse quantiser: k-means centroids fitted on a
-bounded sample (`SAMPLE` distinct vectors, those of smallest hash); every distinct vector is indexed
-in its nearest cell, of about `CELL_ROWS` vectors. A cell with more than `SHARD_ROWS` vectors is
-divided over several graphs, all of which are asked.
-
-How many of its nearest cells a vector has to ask is measured, at every size in the same way: for
-`PROBED` vectors (those of smallest hash) the true neighbours are found by brute force over all vectors,
-and the number of cells is the least for which these hold at least the share `COVER` of them. Where near
-neighbours are far spread over the cells that is all of them, where vectors form clusters it is a few.
-``probes`` sets the number instead; at the number of cells nothing is passed over. `exact_neighbours` is
-the exact way: all pairs of a query set against all rows, in blocks.
+all rows is one node. Vectors lie in the cells of a coarse quantiser: k-means centroids fitted on a
+bounded sample (`SAMPLE` distinct vectors, those of smallest hash).
+
+Each cell is cut into blocks of at most `BLOCK_ROWS` vectors that lie near each other, one row per block.
+A task holds the blocks of one partition and streams over all blocks (over one of up to `STREAMS` parts of
+them while partitions are few); they are read from the checkpoint, nothing is copied in a shuffle. A pair
+of blocks is one matrix product in tiles, of which only what betters a vector's k best so far is looked at.
+A vector passes over a block only if the triangle inequality rules out that the block betters them, so
+nothing is lost: where vectors form clusters most blocks are passed over, where they do not all pairs are
+compared and the work grows with the square of the distinct vectors.
+
+Given ``probes``, small-world graphs are asked instead, one per shard: every distinct vector is indexed
+in its nearest cell, of about `CELL_ROWS` vectors, and a cell with more than `SHARD_ROWS` vectors is
+divided over several graphs, all of which are asked. ``probes`` is the number of nearest cells a vector
+asks; 0 has it measured: for `PROBED` vectors (those of smallest hash) the true neighbours are found by
+brute force over all vectors, and the number of cells is the least for which these hold at least the share
+`COVER` of them. Graphs pass over true neighbours, and at the sizes measured they cost more than the
+matrix products.
 
 A shard's graph is hierarchical: a node reaches level L with probability m^-L (from a hash of its
 key), each level links its nodes to diverse near neighbours, a search descends greedily through the
@@ -20,8 +27,8 @@ upper levels and then keeps the ``ef`` best of the lowest. Graphs are kept as fl
 Building and searching run over blocks of vectors at once.
 
 Defined results: a vector is usable if it has the given dimension, only finite numbers and is not
-all zero; all others take no part. Equal similarities are ordered by id; copies of a vector count as
-other vectors. Repeated ids are separate rows, but a row is never its own neighbour.
+all zero; all others take no part. Similarities equal in six digits are ordered by id; copies of a vector
+count as other vectors. Repeated ids are separate rows, but a row is never its own neighbour.
 """
 
 from __future__ import annotations
@@ -53,6 +60,11 @@ PROBED = 500
 COVER = 0.98
 BLOCK = 512
 ROUTED = 4_096
+BLOCK_ROWS = 4_096
+STREAMS = 4
+TILE = 256
+TASKS = 64  # of comparing, at least, as far as `STREAMS` allows
+SLACK = 1.2e-6  # what rounding to six digits and single precision can move a similarity
 
 
 # --- one graph -------------------------------------------------------------------------------------
@@ -376,35 +388,35 @@ def _search(dimension: int, k: int, ef: int):
     return search
 
 
-def build_index(groups: DataFrame, centres: np.ndarray, shards: np.ndarray, dimension: int = DIMENSION, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
-    """One row of flat arrays per shard over ``groups`` (node, packed)."""
+def _in_shards(groups: DataFrame, centres: np.ndarray, shards: np.ndarray, dimension: int) -> DataFrame:
+    """``groups`` (node, packed) by shard."""
     points = groups.select("node", "packed").mapInPandas(_route(centres, shards, dimension), "shard bigint, node bigint, packed binary")
     count = int(shards.sum())
-    points = points.repartition(even_partitions(groups.sparkSession.range(count), count), "shard")  # not merged: few rows but much work
-    return points.groupBy("shard").applyInPandas(_build(dimension, links, ef), INDEX_SCHEMA)
+    return points.repartition(even_partitions(groups.sparkSession.range(count), count), "shard")  # not merged: few rows but much work
 
 
-def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """The distinct vectors: node (the smallest id), number of copies, the k+1 smallest ids, packed floats."""
-    return vectors.groupBy("key", "key2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+def build_index(groups: DataFrame, centres: np.ndarray, shards: np.ndarray, dimension: int = DIMENSION, links: int = LINKS, ef: int = EF_BUILD) -> DataFrame:
+    """One row of flat arrays per shard over ``groups`` (node, packed)."""
+    return _in_shards(groups, centres, shards, dimension).groupBy("shard").applyInPandas(_build(dimension, links, ef), INDEX_SCHEMA)
 
 
-def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, cell_rows: int = CELL_ROWS, links: int = LINKS, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH, probes: int | None = None) -> DataFrame:
-    """For every usable row its k most similar other rows: vec_id, rank from 1, neighbour_id, cosine."""
-    spark = df.sparkSession
-    rows = pack_vectors(df, id_col, vector_col, dimension)
-    groups = checkpoint(distinct_vectors(rows).mapInPandas(_pack(dimension), "key bigint, key2 bigint, node bigint, copies bigint, packed binary"))
-    count = groups.count()
-    result = "vec_id bigint, rank int, neighbour_id bigint, cosine double"
-    if count == 0:
-        return spark.createDataFrame([], result)
+def _cells(groups: DataFrame, count: int, cell_rows: int, shard_rows: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """The centres of cells of about ``cell_rows`` of ``groups``, and over how many shards of at most about ``shard_rows`` each is divided."""
     cells = max(1, math.ceil(count / cell_rows))
     sample = groups.select("packed", F.xxhash64("node", F.lit(7)).alias("h")).orderBy("h").limit(max(SAMPLE, 4 * cells)).select("packed").toPandas()
     centres = centroids_of(unit(sample["packed"], dimension), cells)
     in_cell = groups.select("node", "packed").mapInPandas(_route(centres, np.ones(cells, dtype=np.int64), dimension), "shard bigint, node bigint, packed binary").groupBy("shard").count().collect()  # a row per cell
     shards = np.ones(cells, dtype=np.int64)
     for r in in_cell:
-        shards[r["shard"]] = math.ceil(r["count"] / SHARD_ROWS)
+        shards[r["shard"]] = math.ceil(r["count"] / shard_rows)
+    return centres, shards
+
+
+def _near_in_graphs(groups: DataFrame, count: int, k: int, dimension: int, cell_rows: int, links: int, ef_build: int, ef_search: int, probes: int) -> DataFrame:
+    """node, other, sim: up to k near neighbours of each of ``groups``, from the graphs of its ``probes`` nearest cells (0: as many as are measured to be needed)."""
+    spark = groups.sparkSession
+    centres, shards = _cells(groups, count, cell_rows, SHARD_ROWS, dimension)
+    cells = len(centres)
     probes = min(cells, probes or probes_needed(groups, centres, k, dimension))
     index = checkpoint(build_index(groups, centres, shards, dimension, links, ef_build))
     # a graph is asked in slices, each with a copy of it
@@ -417,7 +429,121 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     graphs, queries = (x.repartition(parts, "shard", "slice") for x in (graphs, queries))
     near = graphs.groupBy("shard", "slice").cogroup(queries.groupBy("shard", "slice")).applyInPandas(_search(dimension, k, ef_search), "node bigint, other bigint, sim float")
     best = near.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "other"))).filter(F.col("place") <= k)
-    best = checkpoint(best.select("node", "other", F.col("sim").cast("double").alias("sim")))
+    return best.select("node", "other", F.round(F.col("sim").cast("double"), 6).alias("sim"))
+
+
+# --- blocks against blocks -------------------------------------------------------------------------
+
+
+def better(sims: np.ndarray, nodes: np.ndarray, own: np.ndarray, queries: np.ndarray, others: np.ndarray, vectors: np.ndarray) -> int:
+    """Bring the best of each query (similarities in six digits and nodes, best first; -inf where none) up to date with a block of other vectors, in place.
+
+    A query's own node is left out, equal similarities go to the smaller node. Queries that the block cannot
+    better are passed over: none of its vectors is nearer to the query than the query's angle to the block's
+    middle less the widest angle in the block. Returns the number of queries compared.
+    """
+    k = sims.shape[1]
+    middle = vectors.sum(axis=0, dtype=np.float64)
+    middle /= max(np.linalg.norm(middle), 1e-12)
+    widest = np.arccos(np.clip((vectors @ middle).min(), -1, 1))
+    angle = np.arccos(np.clip(queries @ middle, -1, 1)) - widest - 1e-3  # single precision moves small angles by less
+    asking = np.flatnonzero(np.cos(np.clip(angle, 0, np.pi)) >= sims[:, -1] - SLACK)
+    space = np.empty((min(TILE, len(asking)), len(vectors)), dtype=np.float32)  # small enough to stay in a cache
+    for at in range(0, len(asking), TILE):
+        rows = asking[at : at + TILE]
+        found = np.matmul(queries[rows], vectors.T, out=space[: len(rows)])
+        least = (sims[rows, -1] - SLACK).astype(np.float32)
+        few = np.flatnonzero(np.isneginf(least))
+        if few.size and found.shape[1] > k + 1:  # the k best and the query itself
+            least[few] = np.partition(found[few], -k - 1, axis=1)[:, -k - 1] - SLACK
+        hot = np.flatnonzero(found.max(axis=1) >= least)
+        found = found[hot]
+        hits = np.flatnonzero(found >= least[hot][:, None])
+        query, sim, node = rows[hot[hits // len(vectors)]], np.round(found.ravel()[hits].astype(np.float64), 6), others[hits % len(vectors)]
+        keep = (node != own[query]) & ((sim > sims[query, -1]) | ((sim == sims[query, -1]) & (node < nodes[query, -1])))
+        who = np.unique(query[keep])
+        query = np.concatenate([np.repeat(who, k), query[keep]])
+        sim, node = np.concatenate([sims[who].ravel(), sim[keep]]), np.concatenate([nodes[who].ravel(), node[keep]])
+        order = np.lexsort((node, -sim, query))
+        place = order[np.searchsorted(query[order], who)[:, None] + np.arange(k)]
+        sims[who], nodes[who] = sim[place], node[place]
+    return len(asking)
+
+
+def _cut(dimension: int):
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        nodes, vectors = rows["node"].to_numpy(), unit(rows["packed"], dimension)
+        count = math.ceil(len(rows) / BLOCK_ROWS)
+        order = np.argsort((vectors @ centroids_of(vectors, count).T).argmax(1), kind="stable")
+        blocks = np.array_split(order, count)
+        return pd.DataFrame({"block": [f"{rows['shard'].iloc[0]}/{i}" for i in range(count)], "nodes": [nodes[b].astype(np.int64).tobytes() for b in blocks], "vectors": [vectors[b].tobytes() for b in blocks]})
+
+    return cut
+
+
+def _compare(dimension: int, k: int):
+    """Pairs of a block (nodes, vectors) and a block that asks (block, own, queries) to the k best of each asking block's vectors."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asking = {}  # the blocks of one partition
+        for batch in batches:
+            for block, own, queries, others, vectors in batch[["block", "own", "queries", "nodes", "vectors"]].itertuples(index=False):
+                if block not in asking:
+                    own = np.frombuffer(own, dtype=np.int64).copy()
+                    queries = np.frombuffer(queries, dtype=np.float32).reshape(-1, dimension).copy()
+                    asking[block] = np.full((len(own), k), -np.inf), np.full((len(own), k), np.iinfo(np.int64).max), own, queries
+                better(*asking[block], np.frombuffer(others, dtype=np.int64), np.frombuffer(vectors, dtype=np.float32).reshape(-1, dimension))
+        for block, (sims, nodes, own, _) in asking.items():
+            yield pd.DataFrame([{"block": block, "own": own.tobytes(), "others": nodes.tobytes(), "sims": sims.tobytes()}])
+
+    return compare
+
+
+def _merge(k: int):
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        sims = np.concatenate([np.frombuffer(x, dtype=np.float64).reshape(-1, k) for x in parts["sims"]], axis=1)
+        others = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, k) for x in parts["others"]], axis=1)
+        best = np.lexsort((others, -sims), axis=1)[:, :k]
+        sims, others = np.take_along_axis(sims, best, 1).ravel(), np.take_along_axis(others, best, 1).ravel()
+        ok = sims > -np.inf
+        return pd.DataFrame({"node": np.repeat(np.frombuffer(parts["own"].iloc[0], dtype=np.int64), k)[ok], "other": others[ok], "sim": sims[ok]})
+
+    return merge
+
+
+def _near_in_blocks(groups: DataFrame, count: int, k: int, dimension: int, cell_rows: int) -> DataFrame:
+    """node, other, sim: the k nearest neighbours of each of ``groups`` (node, packed) among all of them."""
+    centres, shards = _cells(groups, count, min(cell_rows, 2 * BLOCK_ROWS), 4 * BLOCK_ROWS, dimension)
+    blocks = checkpoint(_in_shards(groups, centres, shards, dimension).groupBy("shard").applyInPandas(_cut(dimension), "block string, nodes binary, vectors binary"))
+    asking = blocks.select("block", F.col("nodes").alias("own"), F.col("vectors").alias("queries"))
+    streams = min(STREAMS, math.ceil(TASKS / int(shards.sum())))
+    streamed = blocks.select("nodes", "vectors").coalesce(streams)
+    # each partition of the one with each of the other, read where they are stored
+    pairs = streamed.hint("shuffle_replicate_nl").crossJoin(asking)
+    near = pairs.mapInPandas(_compare(dimension, k), "block string, own binary, others binary, sims binary")
+    return near.groupBy("block").applyInPandas(_merge(k), "node bigint, other bigint, sim double")
+
+
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """The distinct vectors: node (the smallest id), number of copies, the k+1 smallest ids, packed floats."""
+    return vectors.groupBy("key", "key2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+
+
+def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, dimension: int = DIMENSION, cell_rows: int = CELL_ROWS, links: int = LINKS, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH, probes: int | None = None) -> DataFrame:
+    """For every usable row its k most similar other rows: vec_id, rank from 1, neighbour_id, cosine.
+
+    ``links``, ``ef_build`` and ``ef_search`` are those of the graphs, which are asked only if ``probes`` is given.
+    """
+    spark = df.sparkSession
+    rows = pack_vectors(df, id_col, vector_col, dimension)
+    groups = checkpoint(distinct_vectors(rows).mapInPandas(_pack(dimension), "key bigint, key2 bigint, node bigint, copies bigint, packed binary"))
+    count = groups.count()
+    result = "vec_id bigint, rank int, neighbour_id bigint, cosine double"
+    if count == 0:
+        return spark.createDataFrame([], result)
+    near = _near_in_blocks(groups, count, k, dimension, cell_rows) if probes is None else _near_in_graphs(groups, count, k, dimension, cell_rows, links, ef_build, ef_search, probes)
+    best = checkpoint(near)
     # the smallest ids of each distinct vector that has copies: at most k+1, cut down before the shuffle
     many = groups.filter("copies > 1").select("key", "key2", "node")
     copies = rows.select("vec_id", "key", "key2")

@@ -112,3 +112,53 @@ def test_few_and_none(spark):
     assert nb.neighbours(one, dimension=2).count() == 0
     two = spark.createDataFrame([(1, [1.0, 0.0], "x", 1), (2, [0.0, 2.0], "x", 1)], SCHEMA)
     assert sorted(tuple(r) for r in nb.neighbours(two, dimension=2).collect()) == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
+
+
+def test_every_true_neighbour_is_found(spark):
+    """Vectors without close neighbours, in several cells and blocks: no neighbour is passed over."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(6_000, 64)).astype(np.float32)
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    best = exact(vectors, 5)
+    got = nb.neighbours(spark.createDataFrame(rows, SCHEMA), cell_rows=1_000).collect()
+    assert len(got) == 30_000 and len({(r["vec_id"], r["neighbour_id"]) for r in got}) == 30_000
+    assert all(abs(r["cosine"] - best[r["vec_id"], r["rank"] - 1]) <= 2e-6 for r in got)
+
+
+def test_equal_similarities_go_to_the_smaller_ids(spark):
+    """Multiples of one vector are different vectors, all of cosine 1 to each other."""
+    rng = np.random.default_rng(12)
+    one = rng.normal(size=8)
+    rows = [(i, (one * (1 + (i * 37 % 101) / 7)).astype(np.float32).tolist(), "x", 1) for i in range(100)]
+    rows += [(100 + i, rng.normal(size=8).astype(np.float32).tolist(), "x", 1) for i in range(100)]
+    found = {}
+    for r in nb.neighbours(spark.createDataFrame(rows, SCHEMA), dimension=8).collect():
+        found.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"], r["cosine"]))
+    for i in range(100):
+        assert sorted(found[i]) == [(n + 1, j, 1.0) for n, j in enumerate([j for j in range(6) if j != i][:5])]
+
+
+def test_only_blocks_that_can_better_are_compared():
+    """In clusters far from each other a vector is compared with its own cluster only, and nothing is lost."""
+    rng = np.random.default_rng(13)
+    clusters = [np.array([c + 0.05 * rng.normal(size=16) for _ in range(200)]) for c in rng.normal(size=(20, 16))]
+    clusters = [(c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float32) for c in clusters]
+    best = exact(np.concatenate(clusters), 5)
+    compared = 0
+    for n, queries in enumerate(clusters):
+        own = np.arange(200) + 200 * n
+        sims, nodes = np.full((200, 5), -np.inf), np.full((200, 5), np.iinfo(np.int64).max)
+        for m in [n, *(m for m in range(20) if m != n)]:
+            compared += nb.better(sims, nodes, own, queries, np.arange(200) + 200 * m, clusters[m])
+        assert np.allclose(sims, best[own], atol=2e-6) and not (nodes == own[:, None]).any()
+    assert compared < 20 * 200 * 3
+
+
+def test_graphs_are_asked_where_probes_are_given(spark):
+    rng = np.random.default_rng(14)
+    vectors = rng.normal(size=(600, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)], SCHEMA)
+    for probes in (0, 6):
+        report = nb.recall_against_brute_force(df, nb.neighbours(df, dimension=16, cell_rows=100, probes=probes), dimension=16).first()
+        assert report["queries"] == 30 and report["recall"] >= 0.9
